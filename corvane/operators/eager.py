@@ -76,12 +76,12 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return named.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def edge_key_totals(edges: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+def edge_key_totals(edges: DataFrame, files: DataFrame, symbols: DataFrame, count_sources: bool = True) -> DataFrame:
     """Edges summed up per target_file and per target_symbol, with the records each value names.
 
     Result: ``field``, ``key_value``, ``n_rows`` (edge rows), ``n_edges`` (distinct edges), ``n_sources``
-    (distinct source files), ``n_records`` (records of that file, or symbols of that name) and
-    ``n_pairs`` (rows of the join of the distinct edges with those records).
+    (distinct source files, unless ``count_sources`` is off), ``n_records`` (records of that file, or symbols of
+    that name) and ``n_pairs`` (rows of the join of the distinct edges with those records).
 
     ``files`` needs ``file``, ``symbols`` needs ``symbol``; further columns are ignored. Null and empty values are
     values of their own, a null joins no record. Repeated rows count in ``n_rows`` and ``n_records``. An empty
@@ -98,27 +98,30 @@ def edge_key_totals(edges: DataFrame, files: DataFrame, symbols: DataFrame) -> D
         .select(fields.alias("k"), "source_file", "n_rows")
         .select("k.field", "k.key_value", "source_file", "n_rows")
     )
-    # Level one is keyed by (value, source_file); its groups are at once the distinct sources of level two.
-    fine = per_source.groupBy("field", "key_value", "source_file").agg(
-        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_edges")
-    )
-    left = fine.groupBy("field", "key_value").agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("n_edges").alias("n_edges"), F.count("source_file").alias("n_sources")
-    )
+    sums = [F.sum("n_rows").alias("n_rows"), F.sum("n_edges").alias("n_edges")]
+    if count_sources:
+        # Level one is keyed by (value, source_file); its groups are at once the distinct sources of level two.
+        fine = per_source.groupBy("field", "key_value", "source_file").agg(
+            F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_edges")
+        )
+        left = fine.groupBy("field", "key_value").agg(*sums, F.count("source_file").alias("n_sources"))
+    else:
+        # The map-side partial aggregation is level one.
+        left = per_source.withColumn("n_edges", F.lit(1)).groupBy("field", "key_value").agg(*sums)
     records = files.select(F.lit("target_file").alias("field"), canonical_path("file").alias("key_value")).unionByName(
         symbols.select(F.lit("target_symbol").alias("field"), F.col("symbol").alias("key_value"))
     )
     right = records.where("key_value IS NOT NULL").groupBy("field", "key_value").agg(F.count(F.lit(1)).alias("n_records"))
-    return join_states(left, right, ["field", "key_value"], count_left="n_edges", count_right="n_records").select(
-        "field", "key_value", "n_rows", "n_edges", "n_sources", "n_records", "n_pairs"
-    )
+    states = join_states(left, right, ["field", "key_value"], count_left="n_edges", count_right="n_records")
+    sources = ["n_sources"] if count_sources else []
+    return states.select("field", "key_value", "n_rows", "n_edges", *sources, "n_records", "n_pairs")
 
 
 def heavy_keys(totals: DataFrame, min_share_percent: int = 2) -> DataFrame:
     """The values of :func:`edge_key_totals` that hold at least ``min_share_percent`` % of all distinct edges.
 
     Every distinct edge has one target_file, null included, so the total is the sum over that field. Null and
-    empty values count towards the total but are never reported.
+    empty values count towards the total but are never reported. ``totals`` is read twice: hand over a written table.
     """
     total = totals.agg(F.sum(F.when(F.col("field") == "target_file", F.col("n_edges"))).alias("total"))
     return (

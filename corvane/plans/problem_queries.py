@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.operators import eager, references
-from corvane.session import table
+from corvane.session import materialize, table
 
 
-def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _totals(spark: SparkSession, sf_dir: str, count_sources: bool = True) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     return eager.edge_key_totals(
         t("edges"),
         t("manifest").select("file").unionByName(t("shared_files").select("file")),
         t("symbols").select("symbol").unionByName(t("shared_symbols").select("symbol")),
+        count_sources,
     )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eager.heavy_keys(_totals(spark, sf_dir))
+    return eager.heavy_keys(materialize(_totals(spark, sf_dir, count_sources=False), "edge-key-totals"))
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
