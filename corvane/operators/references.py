@@ -18,6 +18,8 @@ from corvane.functions.paths import canonical_path
 
 PARENTS_PER_RANGE = 20_000
 REFS_PER_BATCH = 150_000
+#: The table of ranges (a number and a count each) is broadcast up to 2**16 rows, about 1 MB; beyond that it is joined.
+BROADCAST_BITS = 16
 FOREVER = (1 << 62) - 1
 BEFORE = -(1 << 62)
 
@@ -113,6 +115,8 @@ def probe_references(refs: DataFrame, parents: DataFrame, sizes: DataFrame | Non
         .groupBy(_key_range(F.col("key"), bits).alias("range"))
         .agg(F.ceil(F.count(F.lit(1)) / REFS_PER_BATCH).cast("int").alias("salts"))
     )
+    if bits <= BROADCAST_BITS:
+        ranges = F.broadcast(ranges)
     judge = F.col("reason").isNull()
     # references that pass through need no parents: they are spread by their id over the ranges
     located = refs.select(
