@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import packing, splitting, tokens
+from corvane.llm import packing, spans, splitting, tokens
 from corvane.session import table
 
 
@@ -50,6 +50,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p8_pack(spark, sf_dir), _capacity(spark, sf_dir, "pack"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_shares(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -58,6 +66,8 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 SQL = {
