@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the dataset folder ``sf_dir``."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers of all executors, once per context.
+
+    The archive is written to the shared folder, so it doesn't matter what is installed where.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_corvane_shipped", False):
+        return
+    root = Path(__file__).parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f.relative_to(root.parent).as_posix()), f.read_bytes())
+    data = buffer.getvalue()
+    path = f"{shared_dir(spark)}/corvane-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        out = fs.create(target)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path)
+    sc._corvane_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
