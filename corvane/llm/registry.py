@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import packing, spans, splitting, tokens
+from corvane.llm import docpairs, neighbours, packing, spans, splitting, tokens
 from corvane.session import table
 
 
@@ -13,6 +13,17 @@ def _capacity(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, "limits").where(F.col("limit_name") == name).first().capacity
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = docpairs.documented_functions(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "raw_chunks"))
+    return pairs.select("origin", "rec_id", "file", "lang", "container", "name", "signature", "doc_from", F.col("clean").alias("description"), "code")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions whose documentation stands with them in their own row."""
+    pairs = docpairs.documented_functions(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "raw_chunks"), with_code=False)
+    return pairs.where("doc_from = 'own'").select("origin", "rec_id", F.col("name").alias("func_name")).distinct()
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(*(table(spark, sf_dir, n) for n in ("raw_chunks", "doc_chunks", "limits")))
 
@@ -26,6 +37,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).where("piece = 0 AND n_pieces > 1").select("origin", "rec_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, sf_dir, "chunks"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -59,6 +78,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_ids": p7_ids,
