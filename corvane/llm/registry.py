@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, neighbours, packing, spans, splitting, tokens
+from corvane.llm import docpairs, handwritten, neighbours, packing, spans, splitting, tokens
 from corvane.session import table
 
 
@@ -37,6 +37,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).where("piece = 0 AND n_pieces > 1").select("origin", "rec_id").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "chunks"))
+
+
+def p4_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.held_out_accuracy(table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf_dir, "chunks"))
 
@@ -80,6 +88,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p4_found": p4_found,
+    "p4_accuracy": p4_accuracy,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p3_found": p3_found,
