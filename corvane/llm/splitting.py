@@ -32,10 +32,11 @@ _HEAD = (
 )
 _NOTE = r"(?:[ \t]*(?:#|//|/\*|\*|--|@|\[)[^\n]*\n){0,20}"
 
-# Boundaries are positions: what stands before (bounded look-behind) and after.
+# Boundaries are positions: what stands before (bounded look-behind) and after. The look at a single character comes
+# first, as nearly all positions fail it.
 _AFTER_LINE = r"(?<=[\r\n])(?<!\r(?=\n))"
-_AFTER_BLANK = r"(?<=(?:\n|\r(?!\n))[ \t]{0,40}(?:\r\n|\n|\r))(?<!\r(?=\n))"
-_AFTER_SENTENCE = r"(?:(?<=[.!?;:…][\"')\]]?\s)|(?<=[。！？；।؟]))(?<!\r(?=\n))"
+_AFTER_BLANK = r"(?<=[\r\n])(?<=(?:\n|\r(?!\n))[ \t]{0,40}(?:\r\n|\n|\r))(?<!\r(?=\n))"
+_AFTER_SENTENCE = r"(?:(?<=\s)(?<=[.!?;:…][\"')\]]?\s)|(?<=[。！？；।؟]))(?<!\r(?=\n))"
 _AFTER_WORD = r"(?<=\s)(?<!\r(?=\n))"
 
 #: Boundaries of code, strongest first: a blank line before a definition and what is noted above it, the line of a
