@@ -27,7 +27,7 @@ DIMENSIONS = 64
 #: Vectors for each pivot, and the bounds of the number of pivots; the largest sample has MAX_PIVOTS vectors.
 VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 50, 16, 16_384
 #: Pivots in a vector's order, pivots under which it is posted, best ranked candidates of a file that are compared again.
-ORDER, POSTINGS, RERANK = 16, 5, 150
+ORDER, POSTINGS, RERANK = 16, 4, 150
 TILE = 2_000
 
 
@@ -180,19 +180,21 @@ def nearest(
             for p, i, j, r, is_query, is_member in parts:
                 at = pa.array(r)
                 flags = [pa.array(np.full(len(r), x)) for x in (is_query, is_member)]
-                orders = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * o.shape[1]), pa.array(o[r].ravel()))
+                orders = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * o.shape[1]), pa.array(o[r].ravel().astype(np.int16)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), *flags, b.column("rep").take(at), b.column("e").take(at), orders],
                     names=names,
                 )
 
     posted = groups.select("rep", "e").mapInArrow(
-        post, "pivot bigint, i bigint, j bigint, is_query boolean, is_member boolean, rep string, e array<float>, pivots array<int>"
+        post, "pivot bigint, i bigint, j bigint, is_query boolean, is_member boolean, rep string, e array<float>, pivots array<smallint>"
     )
     found = posted.groupBy("pivot", "i", "j").applyInArrow(
         lambda t: _block(t, k, dimensions, rerank), "q string, m string, cosine double"
     )
-    best = _first(found.distinct(), ["q"], [F.desc("cosine"), "m"], k)
+    # a pair may be found in several files; its copies have equal ranks and are dropped without another exchange
+    ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "m"))).where(F.col("r") <= k)
+    best = ranked.select("q", "m", "cosine").distinct()
     # copies: of each group the k + 1 smallest ids can be neighbours, one more than k because an id isn't its own
     copies = groups.where("n > 1").select("rep", F.col("e").alias("e2"))
     members = ids.join(copies, F.col("e") == F.col("e2")).select("rep", "id")
