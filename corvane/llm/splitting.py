@@ -51,7 +51,7 @@ CODE_BOUNDARIES = (
 )
 #: Boundaries of prose: a line before a heading, a blank line, a sentence, a line end, white space.
 PROSE_BOUNDARIES = (
-    rf"{_AFTER_LINE}(?=#{{1,6}}[ \t])",
+    rf"{_AFTER_LINE}(?=#{{1,6}}[ \t]|§+[ \t]*\d|(?:Article|Section|Sec\.|Chapter|Part)[ \t]+\d|\d+(?:\.\d+)+\.?[ \t]+\S)",
     rf"{_AFTER_BLANK}(?=[^\r\n])",
     _AFTER_SENTENCE,
     _AFTER_LINE,
