@@ -63,7 +63,13 @@ def identifier_tokens(text: Column | str) -> Column:
     words = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
     piece = F.lit(r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+")
     pieces = lambda w: F.transform(F.regexp_extract_all(w, piece, F.lit(0)), F.lower)
-    return F.flatten(F.transform(words, lambda w: F.concat(F.array(F.lower(w)), F.filter(pieces(w), lambda p: p != F.lower(w)))))
+
+    def of(w):
+        # most words are lower case without underscores, and then their only piece is the word itself
+        split = F.concat(F.array(F.lower(w)), F.filter(pieces(w), lambda p: p != F.lower(w)))
+        return F.when((F.lower(w) == w) & ~F.contains(w, F.lit("_")), F.array(w)).otherwise(split)
+
+    return F.flatten(F.transform(words, of))
 
 
 def lower_words(text: Column | str) -> Column:

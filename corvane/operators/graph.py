@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +89,53 @@ def callers_of(edge_links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataF
     return neighbours(edge_links, seeds, depth, "callers").groupBy("seed").agg(F.sort_array(F.collect_set("file")).alias("callers"))
 
 
+#: Graphs of at most so many links are iterated in the memory of one task; larger ones by joins.
+SMALL_GRAPH_LINKS = 1_000_000
+
+
+def _pagerank_in_memory(edge_links: DataFrame, iterations: int, alpha: float, seeds: DataFrame | None, tolerance: float | None) -> DataFrame:
+    """The same iteration as :func:`pagerank` over a graph whose size was checked, by numpy in one task."""
+    own = [] if seeds is None else [seeds.select(F.lit(None).cast("string").alias("src"), F.col("file").alias("dst"))]
+    given = edge_links.select("src", "dst")
+    for s in own:
+        given = given.unionByName(s)
+    seeded = seeds is not None
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst = (np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst"))
+        link = np.array([x is not None for x in src], dtype=bool)
+        names, codes = np.unique(np.concatenate([src[link], dst[link]]).astype(str), return_inverse=True) if link.any() else (np.zeros(0, str), np.zeros(0, int))
+        n, m = len(names), int(link.sum())
+        a, b = codes[:m], codes[m:]
+        if not seeded:
+            tele = np.full(n, 1.0 / max(n, 1))
+        else:
+            tele = np.isin(names, dst[~link].astype(str)).astype(float)
+            tele = tele / tele.sum() if tele.any() else tele
+        if not n or not tele.any():
+            return pa.table({"file": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        degree = np.bincount(a, minlength=n)
+        rank = tele.copy()
+        for _ in range(iterations):
+            flow = np.bincount(b, weights=(rank / np.maximum(degree, 1))[a], minlength=n)
+            new = alpha * (flow + rank[degree == 0].sum() * tele) + (1 - alpha) * tele
+            moved, rank = np.abs(new - rank).sum(), new
+            if tolerance is not None and moved < n * tolerance:
+                break
+        return pa.table({"file": pa.array(names.tolist(), pa.string()), "score": pa.array(rank)})
+
+    return given.groupBy(F.lit(1).alias("one")).applyInArrow(run, "file string, score double")
+
+
 def pagerank(edge_links: DataFrame, iterations: int = 20, alpha: float = 0.85, seeds: DataFrame | None = None, tolerance: float | None = None, cut_every: int = 5) -> DataFrame:
     """PageRank of all files: file, score. With ``seeds`` (file), restarts and dangling mass go to the seeds in the graph.
 
     Power iteration; stops after ``iterations`` or once the L1 change is below ``tolerance`` times the number of nodes. No seed
-    in the graph gives no rows. The out-degree travels with the ranks, and the dangling mass is part of the same plan.
+    in the graph gives no rows. The out-degree travels with the ranks, and the dangling mass is part of the same plan. A
+    graph of at most SMALL_GRAPH_LINKS links is iterated in one task instead.
     """
+    if edge_links.count() <= SMALL_GRAPH_LINKS:
+        return _pagerank_in_memory(edge_links, iterations, alpha, seeds, tolerance)
     nodes = edge_links.select(F.col("src").alias("file")).union(edge_links.select("dst")).distinct()
     degree = edge_links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     base = nodes.join(degree.withColumnRenamed("src", "file"), "file", "left")

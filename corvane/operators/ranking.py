@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import identifier_tokens, lower_words
+from corvane.session import materialize
 
 RRF_K = 60
 # What a relation is worth, and what a hop costs.
@@ -39,14 +40,16 @@ def bm25(candidates: DataFrame, id_col: str, text: Column, query: str, k1: float
     Statistics are those of the candidate set. The IDF of a token is ln(N - df + .5) - ln(df + .5), negative ones become epsilon
     times the mean IDF. A candidate stays if it shares a token with the query, whatever its score.
     """
+    spark = candidates.sparkSession
     docs = candidates.select(F.col(id_col), identifier_tokens(text).alias("toks"))
-    sized = docs.withColumn("dl", F.size("toks"))
-    terms = docs.select(id_col, F.explode("toks").alias("tok")).groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("tf"))
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # tokenised once: all statistics come from the written term counts
+    terms = materialize(docs.select(id_col, F.explode("toks").alias("tok")).groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    sized = terms.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+    counted = candidates.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(terms.agg(F.sum("tf").alias("all"))))  # one row each
+    total = counted.select("n", (F.col("all") / F.col("n")).alias("avgdl"))
     df = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(total)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))  # one row
-    spark = candidates.sparkSession
     asked = spark.range(1).select(F.explode(identifier_tokens(F.lit(query))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("qf"))
     weights = raw.join(F.broadcast(asked), "tok").join(F.broadcast(mean)).select(
         "tok", "qf", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")

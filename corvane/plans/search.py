@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, ranking, vectors
+from corvane.session import materialize
 
 MODES = ("vector", "graph", "both")
 
@@ -43,7 +44,8 @@ def graph_leg(chunks: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int,
     """
     ed = graph.canonical_edges(edges)
     link = graph.links(ed)
-    per_file = seeds.groupBy(F.col("source_file").alias("seed")).agg(F.max("score").alias("seed_score"))
+    link = materialize(link, "links")
+    per_file = materialize(seeds.groupBy(F.col("source_file").alias("seed")).agg(F.max("score").alias("seed_score")), "seeds")
     near = graph.neighbours(link, per_file.select("seed"), depth, direction)
     kinds = ed.groupBy(F.col("source_file").alias("a"), F.col("target_file").alias("b")).agg(F.max(ranking.edge_weight("edge_type")).alias("w"), F.max_by("edge_type", ranking.edge_weight("edge_type")).alias("edge_type"))
     forward = near.join(kinds, (F.col("seed") == F.col("a")) & (F.col("file") == F.col("b")), "left").select("seed", "file", "hop", F.col("edge_type").alias("e1"))
@@ -54,7 +56,7 @@ def graph_leg(chunks: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int,
     best = scored.join(per_file.select(F.col("seed").alias("file")), "file", "left_anti").groupBy("file").agg(
         F.max_by(F.struct("seed", "relation", "is_caller", "hop", "score"), F.struct("score", F.col("seed"))).alias("r")
     )
-    best = best.select("file", "r.*")
+    best = materialize(best.select("file", "r.*"), "around")
     rank = lambda c: F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "file"))
     central = graph.pagerank(link, 10, seeds=per_file.select(F.col("seed").alias("file"))).select("file", F.round("score", 9).alias("pr"))
     ordered = best.join(central, "file", "left").withColumn("a", rank("score")).withColumn("b", rank("pr"))
@@ -77,13 +79,15 @@ def search(chunks: DataFrame, query_vector: list[float], query: str, mode: str =
     near = vector_leg(usable, query_vector, limit, min_score)
     if mode == "vector":
         return near.select("chunk_id", "source_file", "score", F.lit(None).cast("double").alias("rrf_score"), F.lit("vector").alias("search_mode"))
+    near = materialize(near, "hits")
     around = graph_leg(usable, edges, vector_leg(usable, query_vector, 3, 0.1), depth, direction, limit)
     hits = ["chunk_id", "source_file", "content", "score"]
     if mode == "graph":
         top = around.orderBy(F.desc("fused"), "chunk_id").limit(limit)
         return top.select("chunk_id", "source_file", "score", F.col("fused").alias("rrf_score"), F.lit("graph").alias("search_mode"))
+    around = materialize(around, "graph-hits")
     graph_list = around.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "chunk_id")).cast("bigint"))
-    pool = near.select(hits).unionByName(graph_list.select(hits)).dropDuplicates(["chunk_id"])
+    pool = materialize(near.select(hits).unionByName(graph_list.select(hits)).dropDuplicates(["chunk_id"]), "pool")
     words = keyword_leg(pool, query, limit)
     lists = [
         df.select("chunk_id", F.lit(i).alias("list_id"), "rank", F.lit(1.0).alias("weight")) for i, df in enumerate((near, graph_list, words))

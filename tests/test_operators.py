@@ -190,7 +190,9 @@ def test_frontier_is_pruned_by_centrality(spark):
     assert {r.file for r in got} == {"d", "b"}
 
 
-def test_pagerank_sums_to_one(spark):
+@pytest.mark.parametrize("small", [1_000_000, -1])
+def test_pagerank_sums_to_one(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_GRAPH_LINKS", small)
     links = link(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("a", "e")])
     got = {r.file: r.score for r in graph.pagerank(links, 40, tolerance=1e-6).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and max(got, key=got.get) == "a"
