@@ -51,11 +51,12 @@ def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.nda
     length = min(length, len(pivots))
     out = np.empty((len(vectors), length), dtype=np.int32)
     p = pivots.astype(np.float32).T.copy()
-    for a in range(0, len(vectors), 2048):
-        s = vectors[a : a + 2048].astype(np.float32) @ p
+    step = max(64, (1 << 22) // len(pivots))  # so that the similarities at hand stay at 16 MB
+    for a in range(0, len(vectors), step):
+        s = vectors[a : a + step].astype(np.float32) @ p
         top = np.argpartition(-s, length - 1, axis=1)[:, :length] if length < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
         values = np.take_along_axis(s, top, axis=1)
-        out[a : a + 2048] = np.take_along_axis(top, np.lexsort((top, -values), axis=1), axis=1)
+        out[a : a + step] = np.take_along_axis(top, np.lexsort((top, -values), axis=1), axis=1)
     return out
 
 
