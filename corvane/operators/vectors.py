@@ -20,6 +20,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """:func:`cosine` with one literal vector, in a single pass over the elements; null for another width or a zero vector."""
+    q = [float(x) for x in query]
+    length = sum(x * x for x in q) ** 0.5
+    start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq"))
+
+    def add(s, p):
+        x = p["x"].cast("double")
+        return F.struct((s["dot"] + x * p["q"]).alias("dot"), (s["sq"] + x * x).alias("sq"))
+
+    pairs = F.zip_with(a, F.array(*(F.lit(x) for x in q)), lambda x, y: F.struct(x.alias("x"), y.alias("q")))
+    done = F.aggregate(pairs, start, add, lambda s: F.when(s["sq"] > 0, s["dot"] / (F.sqrt(s["sq"]) * F.lit(length))))
+    return F.when((F.size(a) == len(q)) & F.lit(length > 0), done)
+
+
 def score_of(similarity: Column) -> Column:
     """1 for the same direction, 0 for the opposite one: 1 - distance / 2 with distance 1 - cosine."""
     return 1 - (1 - similarity) / 2
@@ -31,8 +46,7 @@ def knn(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec_i
     The query is a literal, so this is one scan with a top-k. ``min_score`` is tested on the unrounded score. Equal rounded
     scores go to the smaller id.
     """
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(id_col, score_of(cosine(F.col(embedding), q)).alias("s")).where(F.col("s").isNotNull())
+    scored = vectors.select(id_col, score_of(cosine_to(F.col(embedding), query)).alias("s")).where(F.col("s").isNotNull())
     if min_score is not None:
         scored = scored.where(F.col("s") >= min_score)
     return scored.select(id_col, F.round("s", 4).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)

@@ -15,16 +15,18 @@ MODES = ("vector", "graph", "both")
 
 
 def usable_chunks(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
-    """One row for each chunk id with a vector of the right width, the latest if it was indexed again."""
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("indexed_at"), F.desc("row_id"))
+    """One row for each chunk id with a vector of the right width, the latest if it was indexed again.
+
+    The latest rows are found on the two small columns and joined back, so contents and vectors aren't sorted.
+    """
     ok = chunks.where(F.size("embedding") == dimensions)
-    return ok.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+    latest = ok.groupBy("chunk_id").agg(F.max(F.struct("indexed_at", "row_id")).alias("__l")).select(F.col("__l.row_id").alias("row_id"))
+    return ok.join(latest, "row_id", "left_semi")
 
 
 def vector_leg(chunks: DataFrame, query: list[float], limit: int, min_score: float = 0.5) -> DataFrame:
     """Best chunks for a query vector: the fields of a hit, score and rank."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    s = vectors.score_of(vectors.cosine(F.col("embedding"), q))
+    s = vectors.score_of(vectors.cosine_to(F.col("embedding"), query))
     hits = chunks.select("chunk_id", "source_file", "section", "line_start", "line_end", "content", s.alias("s")).where(F.col("s") >= min_score)
     top = hits.withColumn("score", F.round("s", 4)).drop("s").orderBy(F.desc("score"), "chunk_id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("bigint"))
