@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_module
+import re
 import unicodedata
 
 import pandas as pd
@@ -186,6 +187,20 @@ def strip_markdown(text: Column | str) -> Column:
     return t
 
 
+@F.pandas_udf(T.StringType())
+def mask_exempt(text: pd.Series) -> pd.Series:
+    """Code and quoted spans blanked out by as many spaces, so that all positions stay."""
+    spans = re.compile(r"```.*?```|`[^`\n]*`|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”", re.S)
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+    return text.map(lambda t: None if t is None else spans.sub(blank, t))
+
+
+def parse_instant(text: Column | str) -> Column:
+    """An ISO 8601 time as an instant: ``Z`` and offsets count, a time without zone is UTC; null if it is none."""
+    t = F.trim(_col(text))
+    return F.try_to_timestamp(F.when(t.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(t, F.lit("Z"))))
+
+
 def covered_files(text: Column | str) -> Column:
     """Files of the first ``COVERS:`` line: comma-separated, without wrapping quotes, brackets and backticks."""
     line = F.regexp_extract(_col(text), r"(?im)^\s*(?:[-*]\s*)?covers:\s*(.*)$", 1)

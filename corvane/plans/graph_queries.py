@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as tx
 from corvane.functions.paths import canonical_path
-from corvane.operators import graph, index
+from corvane.operators import graph, index, store
+from corvane.plans import indexing
+from corvane.sources import scan
 from corvane.session import materialize, table
 
 ITERATIONS = 5
@@ -141,10 +144,53 @@ def sweep_plan(s: SparkSession, d: str) -> DataFrame:
     return index.sweep_plan(_projects(s, d).where("model_id IS NOT NULL")).select("project", "model_cost", "position")
 
 
+def _code_files(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").where("kind = 'code' AND path IS NOT NULL")
+    file = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string"), canonical_path("path"))
+    return docs.select(file.alias("file"), F.col("text").alias("content"), F.coalesce(tx.short_hash("text"), F.lit(index.UNREADABLE)).alias("hash"))
+
+
+def full_index(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of the tables of an index that was built, and then brought up to date after some files changed or went."""
+    files = _code_files(s, d)
+    built = indexing.index_files(files, iterations=5)
+    later = files.where(F.length("file") % 13 != 0).select("file", F.when(F.length("file") % 7 == 0, F.concat("content", F.lit("\n"))).otherwise(F.col("content")).alias("content"))
+    later = later.withColumn("hash", F.coalesce(tx.short_hash("content"), F.lit(index.UNREADABLE)))
+    parts = []
+    for name, i in (("built", built), ("updated", indexing.index_files(later, built, 5))):
+        for part in ("chunks", "edges", "ranks", "manifest"):
+            parts.append(getattr(i, part).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("state"), F.lit(part).alias("part"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "documents").where("kind = 'statute' AND text IS NOT NULL")
+    sources = t.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("Statutes").alias("topic"), F.coalesce("source", F.lit("")).alias("prefix"), "text")
+    known = sources.where(F.length("text") % 5 == 0).select("source_id", tx.short_hash("text").alias("content_hash"))
+    return indexing.ingest_documents(sources, known, r"(?:§|Article|Sec\.|\d+(?:\.\d+)+)\s?")
+
+
+def ingested_documents(s: SparkSession, d: str) -> DataFrame:
+    return _ingested(s, d).select("chunk_id", "source_id", "topic", "citation", "token_count")
+
+
+def topic_search(s: SparkSession, d: str) -> DataFrame:
+    docs = materialize(_ingested(s, d), "ingested")
+    return indexing.search_topic(docs, "statutes", docs.orderBy("chunk_id").select("embedding").first()[0]).select("chunk_id", "citation", "score")
+
+
+def usable_hits(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunks").select("row_id", canonical_path("source_file").alias("source_file"), "content")
+    return store.usable_hits(c, "row_id").select("row_id", "source_file")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, ghost_edges, delete_referencing, resolved_symbols,
+        full_index, ingested_documents, topic_search, usable_hits, edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, ghost_edges, delete_referencing, resolved_symbols,
         external_symbols, manifest_diff, upsert_chunks, delete_by_source, dropped_files, registry_update, index_gates, project_coverage, fallback_decision, sweep_plan,
     )
 }
@@ -200,7 +246,10 @@ def _std() -> str:
     return _in(sorted(sys.stdlib_module_names))
 
 
+_CODE = "(" + ", ".join(f"'{e}'" for e in scan.CODE_EXTENSIONS) + ")"
 SQL = {
+    "usable_hits": rf"""SELECT row_id, f AS source_file FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(content, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') ORDER BY row_id) AS i
+      FROM (SELECT row_id, content, {_P.format('source_file')} AS f FROM chunks WHERE content IS NOT NULL) WHERE lower(regexp_extract(f, '(\.[^./]+)$', 1)) IN {_CODE} AND regexp_matches(content, '[^\s\x0b]')) WHERE i = 1""",
     "edge_counters": """SELECT count(*) AS n_edges, count(*) FILTER (WHERE target_file NOT IN ('', '_external_')) AS n_resolved,
       count(*) FILTER (WHERE target_file = '_external_') AS n_external, count(*) FILTER (WHERE target_file IS NULL OR target_file = '') AS n_unresolved FROM edges""",
     "change_signature": "SELECT count(*) AS n, max(edge_id) AS max_id FROM edges",
