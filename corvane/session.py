@@ -70,14 +70,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = spark.sparkContext
+    sc._corvane_tables = [*getattr(sc, "_corvane_tables", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize`; only for ones that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(conf).delete(p, True)
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete all tables that :func:`materialize` wrote in this session; call it once no plan reads them any more."""
+    sc = spark.sparkContext
+    written, sc._corvane_tables = getattr(sc, "_corvane_tables", []), []
+    for folder in written:
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return len(written)
