@@ -109,6 +109,10 @@ SQL = {
         WHERE length(content) // 4 > (SELECT capacity FROM limits WHERE limit_name = 'raw_chunks')
         UNION SELECT 'doc_chunks', doc_chunk_id FROM doc_chunks
         WHERE length(content) // 4 > (SELECT capacity FROM limits WHERE limit_name = 'doc_chunks')""",
+    "p9_found": """WITH w AS (SELECT DISTINCT doc_id, md5_number(substr(text, i, 200)) AS s FROM (
+          SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN r USING (s) JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id""",
     "p7_round_trip": "SELECT true AS exact, count(*) AS n FROM documents",
 }
 
