@@ -45,10 +45,12 @@ def _probe(refs, parents):
     alive = np.zeros(n, dtype=bool)
     ended = np.zeros(n, dtype=bool)
     if parents.num_rows and n:
+        begun = pc.fill_null(parents.column("start").cast(pa.int64()), BEFORE)  # before sorting: a null start is the earliest
+        parents = parents.set_column(parents.schema.get_field_index("start"), "start", begun)
         parents = parents.take(pc.sort_indices(parents, sort_keys=[("h", "ascending"), ("key", "ascending"), ("start", "ascending")]))
         ph = parents.column("h").to_numpy()
         key = parents.column("key").combine_chunks()
-        start = pc.fill_null(parents.column("start").cast(pa.int64()), BEFORE).to_numpy()
+        start = parents.column("start").to_numpy()
         end = pc.fill_null(parents.column("end").cast(pa.int64()), FOREVER).to_numpy()
         new = np.ones(len(ph), dtype=bool)
         new[1:] = (ph[1:] != ph[:-1]) | ~pc.equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
@@ -75,8 +77,8 @@ def _probe(refs, parents):
         width = len(starts) + 1
         lives = rank * width + np.searchsorted(starts, start) + 1
         i = np.searchsorted(lives, k * width + np.searchsorted(starts, t[hit], "right"), "right") - 1
-        begun = (i >= first[k]) & (i >= 0)
-        alive[hit] = begun & (latest[np.maximum(i, 0)] > t[hit])
+        has_begun = (i >= first[k]) & (i >= 0)
+        alive[hit] = has_begun & (latest[np.maximum(i, 0)] > t[hit])
         ended[hit] = earliest[k] <= t[hit]
     alive |= found & no_time
     reason = np.full(n, None, dtype=object)

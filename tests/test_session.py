@@ -11,9 +11,17 @@ def test_materialized_tables_are_read_again_and_dropped(spark):
     assert session.drop_materialized(spark) == 0
 
 
-def test_shared_folder_comes_from_the_session(spark):
+def test_shared_folder_stays_the_same(spark):
     folder = session.shared_dir(spark)
-    assert folder == session.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", folder + "/")
-    assert session.shared_dir(spark) == folder
-    spark.conf.unset("spark.checkpoint.dir")
+    assert folder == session.shared_dir(spark) and not folder.endswith("/")
+
+
+def test_configured_folder_is_used():
+    class Conf:
+        def get(self, key, default):
+            return "hdfs://x/shared/" if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf = Conf()
+
+    assert session.shared_dir(Session()) == "hdfs://x/shared"
