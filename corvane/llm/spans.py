@@ -122,13 +122,17 @@ def _stretches(length: int, margin: int):
             return
 
 
-def _emit(group, k: int, span: int):
-    """Arrays of the selected k-mers of a group of (doc_id, stretch, codes)."""
+def _emit(group, k: int, span: int, every: bool):
+    """Arrays of the selected k-mers of a group of (doc_id, stretch, codes); unless ``every``, one for each context in a text."""
     lengths = np.array([len(c) for _, _, c in group], dtype=np.int64)
     pos, text, h, enter, leave, context = select_kmers(np.concatenate([c for _, _, c in group]), lengths, k, span)
     lo = np.array([s[0] for _, s, _ in group], dtype=np.int64)[text]
     mine = (pos + lo >= np.array([s[2] for _, s, _ in group])[text]) & (pos + lo < np.array([s[3] for _, s, _ in group])[text])
-    # an occurrence with the same context in the same text shares nothing that the first one does not
+    ids = np.array([d for d, _, _ in group], dtype=np.int64)[text]
+    arrays = (h, ids, pos + lo, enter, leave)
+    if every:
+        return [a[mine].view(np.int64) if a.dtype == np.uint64 else a[mine] for a in arrays]
+    # an occurrence with the same context in the same text shares nothing with other documents that the first one does not
     order = np.lexsort((np.arange(len(h)), context, h, text))
     first = np.ones(len(order), dtype=bool)
     o = order
@@ -136,19 +140,21 @@ def _emit(group, k: int, span: int):
     keep = np.zeros(len(h), dtype=bool)
     keep[o[first]] = True
     keep &= mine
-    ids = np.array([d for d, _, _ in group], dtype=np.int64)[text]
-    return [a[keep].view(np.int64) if a.dtype == np.uint64 else a[keep] for a in (h, ids, pos + lo, enter, leave)]
+    return [a[keep].view(np.int64) if a.dtype == np.uint64 else a[keep] for a in arrays]
 
 
-def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
-    """h, doc_id, pos, enter, leave of every selected k-mer; texts shorter than ``span`` have none."""
+def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN, every: bool = False) -> DataFrame:
+    """h, doc_id, pos, enter, leave of the selected k-mers; texts shorter than ``span`` have none.
+
+    Without ``every`` a k-mer comes once for each context that it has in a text, which is enough to find pairs of documents.
+    """
     margin = 2 * span
 
     def run(batches):
         names = ["h", "doc_id", "pos", "enter", "leave"]
 
         def table(group):
-            arrays = _emit(group, k, span)
+            arrays = _emit(group, k, span, every)
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
         for batch in batches:
@@ -171,10 +177,8 @@ def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN) ->
     return texts.mapInArrow(run, "h bigint, doc_id bigint, pos bigint, enter bigint, leave bigint")
 
 
-def repeated_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
-    """The occurrences of k-mers that select in more than one document, as a written table.
-
-    ``n`` counts the occurrences of the k-mer; ``in_edge`` and ``out_edge`` are set where all of them agree in it.
+def _repeated(documents: DataFrame, k: int, span: int, every: bool) -> DataFrame:
+    """The occurrences (see :func:`kmer_occurrences`) of k-mers that select in more than one document, as a written table.
 
     The k-mers are counted first, by partial aggregation of nothing but hash and document, so one that stands in a third
     of all documents costs one row for each map task. Selecting is cheap, so it runs again for the occurrences of the
@@ -183,7 +187,16 @@ def repeated_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN)
     once = kmer_occurrences(documents, k, span).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     hashes = materialize(once.where("lo <> hi").select("h"), "repeated-hashes")
     few = hashes.count() <= BROADCAST_HASHES
-    rows = materialize(kmer_occurrences(documents, k, span).join(F.broadcast(hashes) if few else hashes, "h", "left_semi"), "repeated-kmers")
+    rows = kmer_occurrences(documents, k, span, every).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
+    return materialize(rows, "repeated-kmers")
+
+
+def repeated_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
+    """The occurrences of k-mers that select in more than one document, as a written table.
+
+    ``n`` counts the occurrences of the k-mer; ``in_edge`` and ``out_edge`` are set where all of them agree in it.
+    """
+    rows = _repeated(documents, k, span, False)
     agreed = lambda c, name: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(name)
     facts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), agreed("enter", "in_edge"), agreed("leave", "out_edge"))
     return materialize(rows.select("h", "doc_id", "pos").join(facts, "h"), "repeated-occurrences")
@@ -223,6 +236,55 @@ def with_context(occurrences: DataFrame, documents: DataFrame, k: int, span: int
     return joined.mapInArrow(run, "h bigint, doc_id bigint, pos bigint, n bigint, before string, after string")
 
 
+def _runs(places: list[int], most: int):
+    """(first, step, times) of runs of places that are equally far apart, by ``most`` at the most."""
+    i = 0
+    while i < len(places):
+        j, step = i, 0
+        if i + 1 < len(places) and places[i + 1] - places[i] <= most:
+            step = places[i + 1] - places[i]
+            while j + 1 < len(places) and places[j + 1] - places[j] == step:
+                j += 1
+        yield places[i], step, j - i + 1
+        i = j + 1
+
+
+def context_runs(documents: DataFrame, k: int, span: int) -> DataFrame:
+    """All occurrences of the repeated k-mers with their contexts, as a written table: h, doc_id, before, after, pos, step, times.
+
+    A row is a run of ``times`` places of equal context in one text, ``step`` (at most ``span``) apart, so the places of periodic
+    text take one row, and extents of at least ``span`` characters around neighbouring places of a run touch.
+    """
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["h", "doc_id", "before", "after", "pos", "step", "times"]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), kinds)], names=names)
+
+        rows = []
+        for b in batches:
+            for d, text, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places")):
+                text, by = text.as_py(), {}
+                for h, at in sorted({(p["h"], p["pos"]) for p in places.as_py()}):
+                    by.setdefault((h, text[max(0, at - (span - k)) : at], text[at : at + span]), []).append(at)
+                rows += ((h, d, before, after, *r) for (h, before, after), at in by.items() for r in _runs(at, span))
+                if len(rows) >= 10_000:
+                    yield table(rows)
+                    rows = []
+        if rows:
+            yield table(rows)
+
+    # bounded by the length of one text
+    found = _repeated(documents, k, span, True)
+    places = found.groupBy(F.col("doc_id").alias("at_doc")).agg(F.collect_list(F.struct("h", "pos")).alias("places"))
+    texts = documents.where(F.length("text") >= span).select(F.col("doc_id").cast("bigint"), "text")
+    joined = texts.join(places, F.col("doc_id") == F.col("at_doc")).select("doc_id", "text", "places")
+    rows = joined.mapInArrow(run, "h bigint, doc_id bigint, before string, after string, pos bigint, step bigint, times bigint")
+    return materialize(rows, "contexts")
+
+
 def _blocked_pairs(rows: DataFrame, salt: list[str], left: list[str], right: list[str]) -> DataFrame:
     """Pairs of rows with equal ``h``, each unordered pair once, in groups of at most about ``BLOCK`` by ``BLOCK`` rows.
 
@@ -290,15 +352,15 @@ def shared_shares(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> Dat
 
     A character is shared if it lies in ``span`` consecutive characters that also stand in another document. Every such
     span holds a selected k-mer of both, so the extents around all repeated occurrences cover exactly these.
-    Occurrences with equal context are one class, and only different classes of a k-mer are compared. Null texts have
+    All occurrences count, also those that repeat within a document. Those with equal context are one class, and only
+    different classes of a k-mer are compared. Null texts have
     null n_chars, no shared characters and a null share, empty ones a null share.
     """
-    occurrences = repeated_occurrences(documents, k, span)
-    rows = materialize(with_context(occurrences.select("h", "doc_id", "pos", "n"), documents, k, span), "contexts")
-    classes = rows.groupBy("h", "before", "after").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("n").alias("n"))
-    classes = classes.withColumn("class", F.xxhash64("before", "after"))
-    cols = ["before", "after", "lo", "hi", "class"]
-    pairs = _blocked_pairs(classes, ["before", "after"], cols, cols).where(
+    rows = context_runs(documents, k, span)
+    classes = materialize(rows.groupBy("h", "before", "after").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "context-classes")
+    counts = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    cols = ["before", "after", "lo", "hi"]
+    pairs = _blocked_pairs(classes.join(counts, "h"), ["before", "after"], cols, cols).where(
         ~((F.col("before_a") == F.col("before_b")) & (F.col("after_a") == F.col("after_b")))
         & ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
         & ((F.col("x") != F.col("y")) | (F.struct("before_a", "after_a") < F.struct("before_b", "after_b")))
@@ -323,7 +385,7 @@ def shared_shares(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> Dat
     )
     extents = compared.unionByName(whole).groupBy("h", "before", "after").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     covers = rows.join(extents, ["h", "before", "after"]).select(
-        "doc_id", (F.col("pos") - F.col("l")).alias("b"), (F.col("pos") + F.col("r")).alias("e")
+        "doc_id", (F.col("pos") - F.col("l")).alias("b"), (F.col("pos") + F.col("step") * (F.col("times") - 1) + F.col("r")).alias("e")
     )
     by_start = Window.partitionBy("doc_id").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.col("e") - F.greatest(F.col("b"), F.coalesce(F.max("e").over(by_start), F.col("b"))), F.lit(0))

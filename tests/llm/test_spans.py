@@ -50,6 +50,22 @@ def test_pairs_and_shares(spark, monkeypatch, span, k, broadcast):
     assert {r.doc_id: r.n_chars for r in rows} == {i: None if t is None else len(t) for i, t in docs if i is not None}
 
 
+def repeated_passages():
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passage, run = text(170), "ab" * 150
+    docs = [(1, text(50) + passage + text(31) + passage + text(20)), (2, text(9) + passage + text(5)), (3, passage * 3 + run), (4, text(60) + run[:211] + text(7))]
+    return docs + [(5, "-" * 400 + text(30)), (6, text(3) + "-" * 130), (7, passage[:100] + passage[60:])]
+
+
+def test_shares_count_every_copy_of_a_passage(spark):
+    docs = repeated_passages()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    _, shared = brute(docs, 40)
+    assert shared[1] >= 340
+    assert {r.doc_id: r.shared_chars for r in spans.shared_shares(df, 20, 40).collect()} == shared
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 4)
     docs = corpus(7, 25)
