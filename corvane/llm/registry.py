@@ -85,6 +85,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(table(spark, sf_dir, "documents"))
 
 
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -101,6 +105,7 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p9_spans": p9_spans,
 }
 
 SQL = {

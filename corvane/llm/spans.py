@@ -395,3 +395,65 @@ def shared_shares(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> Dat
     return sizes.join(shared, "doc_id", "left").select(
         "doc_id", "n_chars", chars.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(chars / F.col("n_chars"), 6)).alias("share")
     )
+
+
+def _matches(p: int, step: int, times: int, q: int, step2: int, times2: int):
+    """Diagonals of all pairs of a place of one run and a place of another, with the first and last place of the one on each.
+
+    Runs of one step meet on ``times + times2 - 1`` diagonals; only different steps need every pair of places.
+    """
+    step, step2 = (step2 if times == 1 else step), (step if times2 == 1 else step2)
+    if step == step2:
+        t = np.arange(1 - times, times2)
+        return q - p + step * t, p + step * np.maximum(0, -t), p + step * np.minimum(times - 1, times2 - 1 - t)
+    one = np.repeat(p + step * np.arange(times), times2)
+    return np.tile(q + step2 * np.arange(times2), times) - one, one, one
+
+
+def shared_spans(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
+    """doc_id, start (from 0) and length of every maximal stretch of a document that also stands in another one.
+
+    A stretch has at least ``span`` characters, stands as a whole in some other document, and lies in no longer one of
+    its document that does. Stretches found in different documents may overlap and aren't merged, as their union need not stand
+    anywhere; together they cover the ``shared_chars`` of :func:`shared_shares`. The extents around all occurrences are
+    put together along the diagonals of each pair of documents, so that no length is capped.
+    """
+    rows = context_runs(documents, k, span)
+    cols = ["doc_id", "pos", "step", "times", "before", "after"]
+    pairs = _blocked_pairs(rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"), ["doc_id", "pos"], cols, cols).where(
+        F.when(F.col("x") == F.col("y"), F.col("doc_id_a") < F.col("doc_id_b")).otherwise(F.col("doc_id_a") != F.col("doc_id_b"))
+    )
+
+    def run(batches):
+        names = ["a", "b", "diagonal", "s", "e"]
+        for batch in batches:
+            before, after = _extents(batch, k, span)
+            ok = np.flatnonzero(before + after >= span)
+            v = {c: batch.column(c).to_numpy()[ok] for c in (f"{c}_{x}" for c in cols[:4] for x in "ab")}
+            turn = v["doc_id_a"] > v["doc_id_b"]
+            x, y = ([np.where(turn, v[f"{c}_{t}"], v[f"{c}_{o}"]) for c in cols[:4]] for t, o in ("ba", "ab"))
+            left, right = before[ok], after[ok]
+            single = (x[3] == 1) & (y[3] == 1)
+            p = x[1][single]
+            parts = [(x[0][single], y[0][single], y[1][single] - p, p - left[single], p + right[single])]
+            for i in np.flatnonzero(~single):
+                diagonal, first, last = _matches(*(int(c[i]) for c in (*x[1:], *y[1:])))
+                parts.append((np.full(len(diagonal), x[0][i]), np.full(len(diagonal), y[0][i]), diagonal, first - left[i], last + right[i]))
+                if sum(len(part[0]) for part in parts) >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+                    parts = []
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+
+    compared = pairs.select(*(f"{c}_{x}" for c in cols for x in "ab")).mapInArrow(run, "a bigint, b bigint, diagonal bigint, s bigint, e bigint")
+    line = Window.partitionBy("a", "b", "diagonal").orderBy("s", "e")
+    apart = F.coalesce(F.col("s") > F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    marked = compared.withColumn("new", apart.cast("int"))
+    numbered = marked.withColumn("g", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("a", "b", "diagonal", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    d = F.col("diagonal")
+    sides = [F.struct(F.col(x).alias("doc_id"), (F.col("s") + y).alias("s"), (F.col("e") + y).alias("e")) for x, y in (("a", F.lit(0)), ("b", d))]
+    stretches = whole.select(F.explode(F.array(*sides)).alias("x")).select("x.*").distinct()
+    by_start = Window.partitionBy("doc_id").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    longest = stretches.withColumn("past", F.max("e").over(by_start)).where("past IS NULL OR e > past")
+    return longest.select("doc_id", F.col("s").alias("start"), (F.col("e") - F.col("s")).alias("length"))

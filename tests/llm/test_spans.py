@@ -66,6 +66,45 @@ def test_shares_count_every_copy_of_a_passage(spark):
     assert {r.doc_id: r.shared_chars for r in spans.shared_shares(df, 20, 40).collect()} == shared
 
 
+def brute_stretches(docs, span):
+    texts = {i: t for i, t in docs if i is not None and t}
+    found = set()
+    for i, t in texts.items():
+        past = 0
+        for b in range(len(t) - span + 1):
+            e = max(past, b + span - 1)
+            others = [u for j, u in texts.items() if j != i and t[b:e] in u]
+            while e < len(t) and any(t[b : e + 1] in u for u in others):
+                e += 1
+            if e > past and e - b >= span and any(t[b:e] in u for u in others):
+                found.add((i, b, e - b))
+                past = e
+    return found
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_maximal_stretches(spark, monkeypatch, block):
+    monkeypatch.setattr(spans, "BLOCK", block)
+    for docs in (repeated_passages(), corpus(13, 25)):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = [tuple(r) for r in spans.shared_spans(df, 20, 40).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_stretches(docs, 40)
+        _, shared = brute(docs, 40)
+        covered = {i: set() for i in shared}
+        for i, b, n in got:
+            covered[i] |= set(range(b, b + n))
+        assert {i: len(c) for i, c in covered.items()} == shared
+
+
+def test_overlapping_stretches_of_different_documents_stay_apart(spark):
+    rng = random.Random(3)
+    t = "".join(rng.choice("abcdefgh") for _ in range(300))
+    df = spark.createDataFrame([(1, t), (2, t[:200]), (3, t[150:])], "doc_id long, text string")
+    got = {tuple(r) for r in spans.shared_spans(df, 20, 40).collect()}
+    assert got == {(1, 0, 200), (1, 150, 150), (2, 0, 200), (3, 0, 150)}
+    assert spans.shared_spans(df.limit(0), 20, 40).count() == 0
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 4)
     docs = corpus(7, 25)
