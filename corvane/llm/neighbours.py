@@ -6,13 +6,15 @@ the files of the same pivots, ranks what it finds by the footrule distance of th
 best ranked are compared again by their cosine in double precision.
 
 One inverted file is one task's block, joined with itself; a file of more than ``TILE`` vectors (a hot pivot) is cut into
-chunks, and every pair of chunks is a block of its own, so nothing is left out. Equal vectors are indexed once:
-of a group of copies only the few smallest ids can be among anyone's neighbours, and all copies get their result from
-the common one.
+chunks, and every pair of chunks is a block of its own, so nothing is left out. Vectors of equal direction, whatever their
+length, are copies and indexed once: of a group of copies only the few smallest ids can be among anyone's neighbours, and
+all copies get their result from the common one. Members that tie in the footrule distance at the end of the best ranked are all
+compared, so no neighbour is an arbitrary one of several.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -29,6 +31,9 @@ VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 50, 16, 16_384
 #: Pivots in a vector's order, pivots under which it is posted, best ranked candidates of a file that are compared again.
 ORDER, POSTINGS, RERANK = 16, 4, 150
 TILE = 2_000
+#: Unit vectors that agree in all elements to this are copies. Float rounding of a rescaled copy moves an element by at most 6e-8 of itself,
+#: so it seldom falls elsewhere (it is then indexed besides); the cosine of two copies rounds to 1.
+SAME = 1e-6
 
 
 def usable(embedding: str, dimensions: int = DIMENSIONS):
@@ -77,6 +82,12 @@ def footrule_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common
 
 
+def _directions(vectors: np.ndarray) -> list[bytes]:
+    """A key of the direction of each unit vector, equal for copies (see ``SAME``)."""
+    cells = np.rint(vectors / SAME).astype(np.int32)
+    return [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in cells]
+
+
 def _block(table: pa.Table, k: int, dimensions: int, rerank: int) -> pa.Table:
     """The k best members of one inverted file for each of its queries."""
     table = table.take(pc.sort_indices(table, sort_keys=[("rep", "ascending")]))
@@ -90,15 +101,17 @@ def _block(table: pa.Table, k: int, dimensions: int, rerank: int) -> pa.Table:
         rows = q[a : a + 512]
         rank = footrule_similarity(order[rows], order[m])
         rank[rows[:, None] == m[None, :]] = -1
-        best = np.argpartition(-rank, rerank - 1, axis=1)[:, :rerank] if len(m) > rerank else np.tile(np.arange(len(m)), (len(rows), 1))
-        cosine = np.take_along_axis(np.round(vectors[rows] @ vectors[m].T, 6), best, axis=1)
-        cosine[rows[:, None] == m[best]] = -9
+        cosine = np.round(vectors[rows] @ vectors[m].T, 6)
+        cosine[rows[:, None] == m[None, :]] = -9
+        if len(m) > rerank:  # with all that tie with the last
+            cosine[rank < np.partition(rank, len(m) - rerank, axis=1)[:, len(m) - rerank, None]] = -9
         # members stand in order of their ids, so the smaller id wins among equals
-        top = np.lexsort((best, -cosine), axis=1)[:, :k]
+        value = np.rint(cosine * 1e6).astype(np.int64) * len(m) - np.arange(len(m))
+        top = np.argpartition(-value, k - 1, axis=1)[:, :k] if len(m) > k else np.tile(np.arange(len(m)), (len(rows), 1))
         s = np.take_along_axis(cosine, top, axis=1)
         found = s > -2
         sources.append(np.broadcast_to(rows[:, None], s.shape)[found])
-        targets.append(m[np.take_along_axis(best, top, axis=1)][found])
+        targets.append(m[top][found])
         scores.append(s[found])
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
     return pa.table(
@@ -137,8 +150,17 @@ def nearest(
     """
     spark = vectors.sparkSession
     ok = vectors.where(F.col(id_col).isNotNull() & usable(embedding, dimensions))
-    ids = materialize(ok.groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(embedding).alias("e")), "vectors")
-    groups = materialize(ids.groupBy("e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-vectors")
+    once = ok.groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(embedding).alias("e"))
+
+    def direct(batches):
+        for b in batches:
+            keys = _directions(_matrix(b.column("e"), dimensions)) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("e"), pa.array(keys, type=pa.binary())], names=["id", "e", "direction"])
+
+    ids = materialize(once.mapInArrow(direct, "id string, e array<float>, direction binary"), "vectors")
+    first = F.min(F.struct("id", "e"))
+    groups = ids.groupBy("direction").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups.select("direction", F.col("first.id").alias("rep"), F.col("first.e").alias("e"), "n"), "distinct-vectors")
     n = groups.count()
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, n // vectors_per_pivot), max(n, 1))
     sample = groups.select("e", F.xxhash64("rep").alias("x"), "rep").orderBy("x", "rep").limit(wanted).select("e").toArrow()
@@ -197,8 +219,8 @@ def nearest(
     ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "m"))).where(F.col("r") <= k)
     best = ranked.select("q", "m", "cosine").distinct()
     # copies: of each group the k + 1 smallest ids can be neighbours, one more than k because an id isn't its own
-    copies = groups.where("n > 1").select("rep", F.col("e").alias("e2"))
-    members = ids.join(copies, F.col("e") == F.col("e2")).select("rep", "id")
+    copies = groups.where("n > 1").select("rep", "direction")
+    members = ids.select("id", "direction").join(copies, "direction").select("rep", "id")
     few = _first(members, ["rep"], ["id"], k + 1)
     own = members.join(few.select(F.col("rep").alias("rep2"), F.col("id").alias("other")), F.col("rep") == F.col("rep2"))
     own = own.where("id <> other").select("id", F.col("other").alias("neighbour"), F.lit(1.0).alias("cosine"))

@@ -1,6 +1,7 @@
 """Nearest vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import neighbours as nb
@@ -67,3 +68,40 @@ def test_footrule_similarity_is_the_distance():
             pa_, pb = ({p: k for k, p in enumerate(x)} for x in (a[i], b[j]))
             distance = sum(abs(pa_.get(p, 5) - pb.get(p, 5)) for p in set(pa_) | set(pb))
             assert got[i, j] == (30 - distance) / 2
+
+
+def rescaled(n, dim, seed):
+    """Copies of one vector in other lengths; their ids aren't in the order of the rows."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=dim)
+    return [(f"r{(i * 7919) % n:04d}", (v * s).astype(np.float32).tolist(), "", 0) for i, s in enumerate(rng.uniform(0.2, 5, n))]
+
+
+def test_rescaled_copies_have_the_smallest_ids_as_neighbours(spark):
+    rows = rescaled(700, 64, 8) + [(f"z{a}", e, "", 0) for a, e, *_ in data(100, 64)[:100]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in nb.nearest(df, "chunk_id", "embedding").where("chunk_id < 's'").collect():
+        got.setdefault(r.chunk_id, []).append((-r.cosine, r.neighbour))
+    want = {c: n for c, n in brute(rows, 5, 64).items() if c < "s"}
+    assert {c: [n for _, n in sorted(v)] for c, v in got.items()} == want
+
+
+def test_directions_are_few_for_rescaled_copies_and_differ_for_others():
+    keys = nb._directions(nb._matrix(pa.array([e for _, e, *_ in rescaled(2000, 64, 9)], pa.list_(pa.float32())), 64))
+    assert len(set(keys)) <= 32
+    other = nb._matrix(pa.array([[1.0, 0.0], [1.0, 1e-4], [-1.0, 0.0], [1e30, 0.0]], pa.list_(pa.float64())), 2)
+    assert len(set(nb._directions(other))) == 3
+
+
+def test_ties_at_the_last_rank_are_all_compared():
+    rng = np.random.default_rng(6)
+    n, dim = 400, 8
+    v = [(np.ones(dim) * s).astype(np.float32).tolist() for s in rng.uniform(0.5, 2, n)]
+    columns = {"rep": [f"m{i:03d}" for i in range(n)], "e": pa.array(v, pa.list_(pa.float32())), "pivots": pa.array([[0, 1, 2]] * n, pa.list_(pa.int16()))}
+    t = pa.table(columns | {"is_query": [True] * n, "is_member": [True] * n})
+    found = {}
+    for r in nb._block(t, 5, dim, 150).to_pylist():
+        found.setdefault(r["q"], set()).add(r["m"])
+    ids = columns["rep"]
+    assert found == {q: set([m for m in ids if m != q][:5]) for q in ids}
