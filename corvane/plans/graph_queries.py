@@ -12,7 +12,10 @@ from corvane.plans import indexing
 from corvane.sources import scan
 from corvane.session import materialize, table
 
+#: Steps of the queries that SQL unrolls; the converged ones have no SQL.
 ITERATIONS = 5
+#: The reference's bound of the steps, and the mean change of a score at which they end; its own 1e-6 hardly takes a step on large graphs.
+CONVERGED = {"iterations": 100, "tolerance": 1e-12}
 SEEDS = 3
 
 
@@ -58,6 +61,16 @@ def personalized_pagerank(s: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(links, ITERATIONS, seeds=_seeds(links).select(F.col("seed").alias("file"))).select("file", F.round("score", 8).alias("score"))
 
 
+def pagerank_converged(s: SparkSession, d: str) -> DataFrame:
+    """The scores that the power iteration tends to, of which :func:`pagerank` gives the first steps."""
+    return graph.pagerank(_links(s, d), **CONVERGED).select("file", F.round("score", 8).alias("score"))
+
+
+def personalized_pagerank_converged(s: SparkSession, d: str) -> DataFrame:
+    links = _links(s, d)
+    return graph.pagerank(links, seeds=_seeds(links).select(F.col("seed").alias("file")), **CONVERGED).select("file", F.round("score", 8).alias("score"))
+
+
 def ghost_edges(s: SparkSession, d: str) -> DataFrame:
     current = table(s, d, "manifest").where("deleted_at IS NULL").select("file").unionByName(table(s, d, "shared_files").where("deleted_at IS NULL").select("file"))
     return graph.delete_ghosts(table(s, d, "edges"), current).groupBy("edge_type").agg(F.count(F.lit(1)).alias("kept"))
@@ -190,7 +203,7 @@ def usable_hits(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        full_index, ingested_documents, topic_search, usable_hits, edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, ghost_edges, delete_referencing, resolved_symbols,
+        full_index, ingested_documents, topic_search, usable_hits, edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, pagerank_converged, personalized_pagerank_converged, ghost_edges, delete_referencing, resolved_symbols,
         external_symbols, manifest_diff, upsert_chunks, delete_by_source, dropped_files, registry_update, index_gates, project_coverage, fallback_decision, sweep_plan,
     )
 }

@@ -202,6 +202,30 @@ def test_pagerank_sums_to_one(spark, monkeypatch, small):
     assert graph.pagerank(links.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("name", ["pagerank", "personalized_pagerank"])
+def test_converged_pagerank_solves_the_equations(spark, name):
+    import numpy as np
+
+    from corvane.plans import graph_queries as gq
+    from tests.conftest import DATA
+
+    links = sorted({(r.src, r.dst) for r in gq._links(spark, DATA).collect()})
+    files = sorted({f for x in links for f in x})
+    at, n = {f: i for i, f in enumerate(files)}, len(files)
+    step = np.zeros((n, n))
+    for a, b in links:
+        step[at[b], at[a]] = 1
+    tele = np.full(n, 1 / n)
+    if name != "pagerank":
+        seeds = [at[r.seed] for r in gq._seeds(gq._links(spark, DATA)).collect()]
+        tele = np.bincount(seeds, minlength=n) / len(seeds)
+    degree = step.sum(axis=0)
+    step = np.where(degree > 0, step / np.maximum(degree, 1), tele[:, None])
+    want = np.linalg.solve(np.eye(n) - 0.85 * step, 0.15 * tele)
+    got = {r.file: r.score for r in gq.QUERIES[f"{name}_converged"](spark, DATA).collect()}
+    assert set(got) == set(files) and max(abs(got[f] - want[at[f]]) for f in files) < 1e-7
+
+
 def test_symbols_resolve_by_priority(spark):
     files = spark.createDataFrame([("src/app/util.py",), ("src/app/main.py",), ("web/Button/index.ts",), ("web/a.tsx",), ("lib/foo.ts",)], "file string")
     asked = [("src.app.util", "src/app/main.py"), (".util", "src/app/main.py"), ("./Button", "web/a.tsx"), ("@/lib/foo", "web/a.tsx"), ("../lib/foo.js", "web/a.tsx"), ("util as u", "x.py"), ("nothing", "x.py")]
