@@ -1,9 +1,10 @@
 """Functions and methods paired with their documentation.
 
-Every source text gives rows of a symbol table: definitions and bodiless declarations with their qualified name,
+Every source text gives rows of a symbol table: definitions and bodiless declarations with their qualified name (namespaces, outer classes, class),
 normalised signature and the documentation that stands with them. A definition that has none of its own takes
 the one of a documented declaration of the same qualified name and signature, which may lie in another file (a
-header, an interface, an overload list); that is a join. Trivial documentation is filtered only afterwards, so that a
+header, an overload list, a stub file), or of the same method of an interface or base that its class names; that is a join of the table with itself.
+Which documentation a definition gets is chosen after the join, and trivial documentation is filtered last, so that a
 stub above a definition doesn't hide the text above its declaration.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import canonical_path
+from corvane.session import materialize
 
 # Languages by file suffix, and what a head of a function looks like in each of them.
 LANGUAGES = {
@@ -28,7 +30,7 @@ _PARAMS = r"\((?P<params>(?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
 _GENERIC = r"(?:<[^<>\n;]*(?:<[^<>\n;]*>[^<>\n;]*)*>)?"
 _PY_TOKEN = re.compile(
     r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*"
-    r"|^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?=[(\[])|^(?P<cindent>[ \t]*)class[ \t]+(?P<cname>\w+)",
+    r"|^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?=[(\[])|^(?P<cindent>[ \t]*)class[ \t]+(?P<cname>\w+)[ \t]*(?:\((?P<bases>[^()\n]*)\))?",
     re.M,
 )
 _PY_STRING = re.compile(
@@ -39,6 +41,8 @@ _HEADS = {
         rf"(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>[A-Za-z_$][\w$]*)[ \t]*{_GENERIC}[ \t]*{_PARAMS}(?P<rest>[ \t]*(?::[^{{;\n]*(?:\{{[^{{}}\n]*\}}[^{{;\n]*)?)?(?P<end>[{{;]|$))",
         rf"(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name>[A-Za-z_$][\w$]*)[ \t]*(?::[^=\n]+)?=[ \t]*(?:async[ \t]+)?(?:function\b[ \t]*\*?[ \t]*[\w$]*[ \t]*{_GENERIC}[ \t]*{_PARAMS}|{_GENERIC}{_PARAMS.replace('params', 'params2')}[ \t]*(?::[^=\n]+)?=>|(?P<params3>[A-Za-z_$][\w$]*)[ \t]*=>)(?P<end>)",
         rf"(?:(?:public|private|protected|static|async|override|readonly|get|set|abstract)[ \t]+)*\*?(?P<name>[#A-Za-z_$][\w$]*)[ \t]*{_GENERIC}{_PARAMS}[ \t]*(?::[^{{;\n]+)?(?P<end>\{{)",
+        # a method of an interface or an abstract one: counts right within the braces of its container only
+        rf"(?:(?:public|private|protected|static|async|override|readonly|abstract)[ \t]+)*(?P<name>[A-Za-z_$][\w$]*)[ \t]*\??{_GENERIC}{_PARAMS}[ \t]*:[^{{;\n]+(?P<end>;|$)",
     ],
     "go": [rf"func[ \t]+(?:\((?P<owner>[^()\n]*)\)[ \t]*)?(?P<name>[A-Za-z_]\w*)[ \t]*(?:\[[^\]\n]*\])?{_PARAMS}(?P<end>)"],
     "rust": [
@@ -67,13 +71,22 @@ _KEYWORDS = frozenset(
     "constructor".split()
 ) - {"constructor"}
 _CONTAINER = {
-    "js": re.compile(r"^(?P<indent>[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?(?:class|interface)[ \t]+(?P<name>[\w$]+)", re.M),
-    "java": re.compile(r"^(?P<indent>[ \t]*)(?:\w+[ \t]+)*?(?:class|interface|enum|record|struct)[ \t]+(?P<name>\w+)", re.M),
+    "js": re.compile(r"^(?P<indent>[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?(?:class|interface|namespace|module)[ \t]+(?P<name>[\w$.]+)", re.M),
+    "java": re.compile(r"^(?P<indent>[ \t]*)(?:\w+[ \t]+)*?(?:class|interface|enum|record|struct|namespace)[ \t]+(?P<name>[\w.]+)", re.M),
     "kotlin": re.compile(r"^(?P<indent>[ \t]*)(?:\w+[ \t]+)*?(?:class|interface|object)[ \t]+(?P<name>\w+)", re.M),
-    "rust": re.compile(r"^(?P<indent>[ \t]*)(?:pub(?:\([^()\n]*\))?[ \t]+)?(?:unsafe[ \t]+)?(?:impl(?:<[^>\n]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?|trait[ \t]+)(?P<name>\w+)", re.M),
+    "rust": re.compile(r"^(?P<indent>[ \t]*)(?:pub(?:\([^()\n]*\))?[ \t]+)?(?:unsafe[ \t]+)?(?:impl(?:<[^>\n]*>)?[ \t]+(?:(?P<trait>[\w:]+)(?:<[^>\n]*>)?[ \t]+for[ \t]+)?|trait[ \t]+|mod[ \t]+)(?P<name>\w+)", re.M),
     "ruby": re.compile(r"^(?P<indent>[ \t]*)(?:class|module)[ \t]+(?P<name>[\w:]+)", re.M),
-    "c": re.compile(r"^(?P<indent>[ \t]*)(?:class|struct|namespace)[ \t]+(?P<name>\w+)[^;\n]*\{", re.M),
+    "c": re.compile(r"^(?P<indent>[ \t]*)(?:class|struct|union|namespace)[ \t]+(?P<name>[\w:]+)(?=[^;{}()=\n]*\s*\{)", re.M),
 }
+# Strings, comments and braces; what looks like a string in one language is a lifetime or a quote in another.
+_BRACES = {
+    "js": re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[{}]"),
+    "": re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\[^'\n]*|[^'\\\n])'|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[{}]"),
+}
+_BASE = re.compile(r"(?:\bextends|\bimplements|:|,)\s*(?:(?:public|private|protected|virtual)\s+)*(?:[A-Za-z_]\w*(?:\.|::))*([A-Za-z_]\w*)")
+# Words of parameters that are no names, and those that are no types.
+_TYPE_WORDS = frozenset("int long short char unsigned signed float double void bool boolean byte size_t string object".split())
+_MODIFIERS = frozenset("final const out ref in params readonly register volatile struct enum union class mut vararg crossinline noinline".split())
 
 _LINE_SIGN = {
     "js": ("//",), "go": ("//",), "rust": ("//",), "java": ("//",), "kotlin": ("//",), "c": ("//",),
@@ -208,10 +221,8 @@ def is_trivial(clean: str, name: str) -> bool:
     return all(any(_is_form(w, p) for p in pieces) for w in said)
 
 
-def normal_signature(params: str | None) -> str:
-    """Parameters without names, defaults and white space where types are given, else their number."""
-    if not params or not params.strip():
-        return "0"
+def _parameters(params: str) -> list[str]:
+    """The parameters of a list, without their defaults and annotations."""
     depth, part, parts = 0, "", []
     for c in params:
         depth += (c in "([{<") - (c in ")]}>")
@@ -221,17 +232,38 @@ def normal_signature(params: str | None) -> str:
         else:
             part += c
     parts.append(part)
-    parts = [p.split("=")[0].strip() for p in parts if p.strip()]
-    types = []
-    for p in parts:
-        if p.lstrip("&").split(":")[0].strip() in ("self", "cls", "mut self", "this"):
-            continue
-        if ":" in p:
-            types.append(re.sub(r"\s+", "", p.split(":", 1)[1]))
-        else:
-            w = p.replace("*", " * ").replace("&", " & ").split()
-            types.append(" ".join(w[:-1]) if len(w) > 1 and re.fullmatch(r"\w+", w[-1]) else "")
-    return f"{len(types)}:{','.join(types)}" if any(types) else str(len(types))
+    cut = (re.sub(r"@[\w.]+(?:\([^()]*\))?", " ", re.split(r"(?<![<>!=])=(?![=>])", p)[0]).strip() for p in parts)
+    return [p for p in cut if p]
+
+
+def _type_first(p: str) -> str:
+    """The type of a parameter that is written before its name, or without one."""
+    words = [w for w in re.sub(r"([*&\[\]]|\.\.\.)", r" \1 ", p).split() if w not in _MODIFIERS]
+    names = [i for i, w in enumerate(words) if re.fullmatch(r"\w+", w) and w not in _TYPE_WORDS]
+    plain = [w for w in words if re.match(r"\w", w)]
+    if len(plain) > 1 and names and names[-1] == max(i for i, w in enumerate(words) if re.match(r"\w", w)):
+        del words[names[-1]]
+    return " ".join(words)
+
+
+def normal_signature(params: str | None, lang: str = "") -> str:
+    """The types of the parameters, without names, defaults, modifiers and white space; their number where no types are given."""
+    parts = [p for p in _parameters(params or "") if p.lstrip("&").split(":")[0].strip() not in ("self", "cls", "mut self", "this", "/", "*")]
+    if parts == ["void"] and lang == "c":
+        parts = []
+    if lang == "go":
+        pairs = [p.split(None, 1) for p in parts]
+        named, types, last = any(len(p) > 1 for p in pairs), [], ""
+        for p in reversed(pairs):  # a name without a type has the one that follows
+            last = p[1] if len(p) > 1 else last if named else p[0]
+            types.insert(0, re.sub(r"\s+", "", last))
+    elif any(":" in re.sub("::", "", p) for p in parts):
+        types = [re.sub(r"\s+", "", p.split(":", 1)[1]) if ":" in p else "" for p in parts]
+    elif lang in ("", "java", "c"):
+        types = [_type_first(p) if lang or re.search(r"\w[\s*&]+\w", p) else "" for p in parts]
+    else:
+        types = []
+    return f"{len(parts)}:{','.join(types)}" if any(types) else str(len(parts))
 
 
 def _lines(text: str) -> tuple[list[str], list[int]]:
@@ -243,13 +275,13 @@ def _lines(text: str) -> tuple[list[str], list[int]]:
 
 
 def _python(text: str):
-    containers: list[tuple[int, str]] = []
+    containers: list[tuple[int, str, list[str]]] = []
     lines = starts = None
     for m in _PY_TOKEN.finditer(text):
         name = m.group("name")
         if m.group("cname"):
             depth = len(m.group("cindent").expandtabs())
-            containers = [c for c in containers if c[0] < depth] + [(depth, m.group("cname"))]
+            containers = [c for c in containers if c[0] < depth] + [(depth, m.group("cname"), re.findall(r"(\w+)\s*(?:,|$)", m.group("bases") or ""))]
             continue
         if name is None:
             continue
@@ -283,7 +315,7 @@ def _python(text: str):
             above = _comment_above(lines, bisect.bisect_right(starts, m.start()) - 1, "python")
             if above is not None and (doc is None or not is_trivial(clean_documentation(above), name)):
                 doc = above
-        yield m.start(), at, indent, name, ".".join(c[1] for c in containers), params, True, doc
+        yield m.start(), at, indent, name, ".".join(c[1] for c in containers), containers[-1][2] if containers else [], params, True, doc
 
 
 _PY_SIGNATURE = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|[()\[\]{}:\n]")
@@ -365,12 +397,70 @@ _OPENS = re.compile(r"\s*[{=]")
 _BLOCK_COMMENT = re.compile(r"^[ \t]*/\*[\s\S]*?(?:\*/|\Z)", re.M)
 
 
+class _Nesting:
+    """What encloses a place of a text: the chain of its containers with their bases, by braces or else by indentation."""
+
+    def __init__(self, text: str, lang: str):
+        self.by_braces = lang in ("js", "java", "kotlin", "rust", "c")
+        heads = list(_CONTAINER[lang].finditer(text)) if lang in _CONTAINER else []
+        self.opens: list[int] = []
+        self.closes: list[int] = []
+        self.parents: list[int] = []
+        self.named: dict[int, tuple[str, list[str]]] = {}
+        self.heads = [(m.start(), len(m.group("indent").expandtabs()), m.group("name").replace("::", ".")) for m in heads]
+        if not self.by_braces or (not heads and lang != "c"):
+            return
+        stack: list[int] = []
+        for t in _BRACES.get(lang, _BRACES[""]).finditer(text):
+            if t.group() == "{":
+                self.parents.append(stack[-1] if stack else -1)
+                stack.append(len(self.opens))
+                self.opens.append(t.start())
+                self.closes.append(len(text))
+            elif t.group() == "}" and stack:
+                self.closes[stack.pop()] = t.start()
+        for m in heads:
+            i = bisect.bisect_left(self.opens, m.end())
+            if i == len(self.opens) or i in self.named:
+                continue
+            between = text[m.end() : self.opens[i]]
+            if ";" in between or "\n\n" in between:
+                continue  # a container without a body
+            bases = _BASE.findall(re.sub(r"<[^<>]*>|\([^()]*\)", "", between))
+            trait = m.groupdict().get("trait")
+            self.named[i] = (m.group("name").replace("::", "."), bases + ([trait.split("::")[-1]] if trait else []))
+
+    def block(self, at: int) -> int:
+        """The innermost block around ``at``, -1 outside of all."""
+        i = bisect.bisect_left(self.opens, at) - 1
+        while i >= 0 and self.closes[i] < at:
+            i = self.parents[i]
+        return i
+
+    def of(self, at: int, indent: int) -> tuple[list[str], list[str], bool]:
+        """The names of the containers from the outside in, the bases of the innermost, and whether nothing else lies between."""
+        if not self.by_braces:
+            chain: list[tuple[int, str]] = []
+            for start, depth, name in self.heads:
+                if start >= at:
+                    break
+                chain = [c for c in chain if c[0] < depth] + [(depth, name)]
+            return [name for depth, name in chain if depth < indent], [], True
+        i = self.block(at)
+        direct, names, bases = i < 0 or i in self.named, [], None
+        while i >= 0:
+            if i in self.named:
+                names.insert(0, self.named[i][0])
+                bases = self.named[i][1] if bases is None else bases
+            i = self.parents[i]
+        return names, bases or [], direct
+
+
 def _others(text: str, lang: str):
-    lines = starts = None
+    lines = starts = nesting = None
     hidden: list[tuple[int, int]] | None = None
     seen: set[int] = set()
-    owners = None
-    for head in _HEADS[lang]:
+    for number, head in enumerate(_HEADS[lang]):
         for m in head.finditer(text):
             g = m.groupdict()
             name = g.get("name") or g.get("name2")
@@ -379,37 +469,39 @@ def _others(text: str, lang: str):
             if "type" in g and g["type"].split(None, 1)[0] in _KEYWORDS | {"typedef", "extern"}:
                 continue
             end = g.get("end")
-            if lang in ("java", "c") and end == ";" and ("=" in (g.get("type") or "") or lang == "c" and m.group("indent")):
+            if lang in ("java", "c") and end == ";" and "=" in (g.get("type") or ""):
                 continue
-            if lang == "c" and end == ";" and not re.search(r"[A-Za-z_]\w*[ \t*]+\**\w+|^\s*(?:void)?\s*$", g["params"] or ""):
-                continue  # a call, not a prototype
             if lines is None:
                 lines, starts = _lines(text)
                 hidden = [x.span() for x in _BLOCK_COMMENT.finditer(text)] if lang not in ("ruby", "lua", "shell") and "/*" in text else []
-                owner = _CONTAINER.get(lang)
-                owners = [(x.start(), len(x.group("indent").expandtabs()), x.group("name")) for x in owner.finditer(text)] if owner else []
+                nesting = _Nesting(text, lang)
             if hidden:
                 k = bisect.bisect_right(hidden, (m.start(), len(text))) - 1
                 if k >= 0 and hidden[k][0] <= m.start() < hidden[k][1]:
                     continue
-            seen.add(m.start())
             indent = len(m.group("indent").expandtabs())
+            names, bases, direct = nesting.of(m.start() + len(m.group("indent")), indent)
+            bodiless_method = lang == "js" and number == 3
+            if bodiless_method and not (direct and names):
+                continue  # a call or the arm of a conditional, not a method
+            if lang == "c" and end == ";" and not (direct and (names or not m.group("indent"))):
+                continue  # a call or a variable within a function
+            if lang == "c" and end == ";" and not names and not re.search(r"[A-Za-z_]\w*[ \t*&]+\**\w+|^\s*(?:void)?\s*$|^[\w\s*&,]*\b(?:int|char|long|short|float|double|unsigned|bool)\b", g["params"] or ""):
+                continue  # a call, not a prototype
+            seen.add(m.start())
             line = bisect.bisect_right(starts, m.start() + len(m.group("indent"))) - 1
             params = next((g[p] for p in ("params", "params2", "params3") if g.get(p)), "")
-            container = (g.get("owner") or "").replace("*", " ").split()[-1:] if lang == "go" else [c for c in [(g.get("owner") or "").strip(":")] if c]
-            if not container and owners:
-                at, best = m.start(), None
-                for o in owners:
-                    if o[0] < at and o[1] < indent:
-                        best = o[2]
-                container = [best] if best else []
+            if lang == "go":
+                names = re.sub(r"\[[^\]]*\]", "", g.get("owner") or "").replace("*", " ").split()[-1:]
+            elif g.get("owner"):
+                names = names + [x for x in g["owner"].split("::") if x]
             bare = re.split(r"[.:]", name)[-1] if lang == "lua" else name.strip("`#")
             if lang == "lua" and name != bare:
-                container = [name[: -len(bare) - 1]]
+                names = [name[: -len(bare) - 1]]
             # a head that ends with its line has a body if that begins on the next one
             open_ended = end == "" and g.get("rest") is not None
-            defined = end != ";" and (not open_ended or _OPENS.match(text, m.end()) is not None)
-            yield m.start(), m.end(), indent, bare, container[0] if container else "", params, defined, _comment_above(lines, line, lang)
+            defined = end != ";" and not bodiless_method and (not open_ended or _OPENS.match(text, m.end()) is not None)
+            yield m.start(), m.end(), indent, bare, ".".join(names), bases, params, defined, _comment_above(lines, line, lang)
 
 
 _INDENT = re.compile(r"[ \t]*")
@@ -434,80 +526,98 @@ def _code(text: str, start: int, head_end: int, indent: int, lang: str) -> str:
 
 
 def symbols_of(text: str, lang: str, with_code: bool = True):
-    """(name, container, signature, is_definition, doc, code) of every function in a source text."""
+    """(name, container, bases, signature, is_definition, doc, code, start) of every function in a source text."""
     found = _python(text) if lang == "python" else _others(text, lang)
-    for start, end, indent, name, container, params, defined, doc in found:
+    for start, end, indent, name, container, bases, params, defined, doc in found:
         code = _code(text, start, end, indent, lang) if with_code and defined else None
-        yield name, container, normal_signature(params), defined, doc, code
+        yield name, container, bases, normal_signature(params, lang), defined, doc, code, start
 
 
 SYMBOL_SCHEMA = (
-    "origin string, rec_id string, scope string, file string, lang string, name string, container string, signature string, "
-    "defined boolean, doc string, clean string, trivial boolean, code string"
+    "origin string, rec_id string, scope string, file string, lang string, name string, container string, bases array<string>, signature string, "
+    "defined boolean, doc string, clean string, trivial boolean, code string, start bigint"
 )
 
 
 def symbol_table(sources: DataFrame, with_code: bool = True) -> DataFrame:
-    """One row per function definition or declaration in ``sources`` (origin, rec_id, file, content).
+    """One row per function definition or declaration in ``sources`` (origin, rec_id, project, file, content).
 
     The language goes by the suffix of the file; files of other languages, null files and null or empty contents
-    give no rows. ``scope`` is the first folder of the path. ``trivial`` is null where there is no documentation.
+    give no rows. ``scope`` is the project, or the first folder of the path where that is null; functions of stub files (.pyi)
+    are declarations. ``start`` is the place in the text. ``trivial`` is null where there is no documentation.
     """
     names = [c.split()[0] for c in SYMBOL_SCHEMA.split(", ")]
+    kinds = {"defined": pa.bool_(), "trivial": pa.bool_(), "bases": pa.list_(pa.string()), "start": pa.int64()}
 
     def run(batches):
         for b in batches:
             rows = []
-            cols = (b.column(c).to_pylist() for c in ("origin", "rec_id", "file", "content"))
-            for origin, rec, file, text in zip(*cols):
+            cols = (b.column(c).to_pylist() for c in ("origin", "rec_id", "project", "file", "content"))
+            for origin, rec, project, file, text in zip(*cols):
                 dot = file.rfind(".")
-                lang = LANGUAGES.get(file[dot:].lower()) if dot >= 0 else None
+                suffix = file[dot:].lower() if dot >= 0 else ""
+                lang = LANGUAGES.get(suffix)
                 if lang is None or not text:
                     continue
-                scope = file.split("/", 1)[0]
+                scope = project if project is not None else file.split("/", 1)[0]
                 if "\r" in text:
                     text = text.replace("\r\n", "\n").replace("\r", "\n")
-                for name, container, signature, defined, doc, code in symbols_of(text, lang, with_code):
+                for name, container, bases, signature, defined, doc, code, start in symbols_of(text, lang, with_code):
                     clean = clean_documentation(doc) if doc is not None else None
                     trivial = is_trivial(clean, name) if clean is not None else None
-                    rows.append((origin, rec, scope, file, lang, name, container, signature, defined, doc, clean, trivial, code))
+                    rows.append((origin, rec, scope, file, lang, name, container, bases, signature, defined and suffix != ".pyi", doc, clean, trivial, code, start))
             columns = list(zip(*rows)) if rows else [()] * len(names)
-            kinds = [pa.bool_() if n in ("defined", "trivial") else pa.string() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=kinds.get(n, pa.string())) for c, n in zip(columns, names)], names=names)
 
-    named = sources.where("file IS NOT NULL AND content IS NOT NULL").select("origin", "rec_id", canonical_path("file").alias("file"), "content")
+    named = sources.where("file IS NOT NULL AND content IS NOT NULL").select("origin", "rec_id", "project", canonical_path("file").alias("file"), "content")
     return named.mapInArrow(run, SYMBOL_SCHEMA)
 
 
-def resolve(symbols: DataFrame) -> DataFrame:
-    """Definitions with the documentation of their own or, failing that, of a documented declaration elsewhere.
+def resolve(symbols: DataFrame, texts: tuple[str, ...] = ("doc", "clean")) -> DataFrame:
+    """Every definition of a symbol table with the documentation of its own or, failing that, of a declaration; those that have neither or only trivial ones are left out.
 
-    ``doc_from`` is ``own`` or ``declaration``. A declaration counts if scope, language, container, name and normalised
-    signature are equal; of several the one with the smallest (file, doc) is taken. Definitions whose only
-    documentation is trivial are left out at the end, by the caller's choice of what to filter.
+    A declaration counts if scope, language, name and normalised signature are equal and its container is that of the definition or one of
+    the bases of its class, which may be named without namespaces. The own container goes first, then the bases in order; of several declarations the
+    one with the smallest (file, ``texts``). The choice is made after the join: own documentation if it isn't trivial, else the declaration's. ``doc_from`` is ``own`` or ``declaration``.
     """
-    key = ["scope", "lang", "container", "name", "signature"]
-    out = ["origin", "rec_id", "file", "lang", "container", "name", "signature", "doc", "clean", "code"]
-    own = symbols.where("defined AND NOT trivial").select(*out, F.lit("own").alias("doc_from"))
-    declared = symbols.where("NOT defined AND NOT trivial").groupBy(*key).agg(F.min(F.struct("file", "doc", "clean")).alias("d"))
-    bare = symbols.where("defined AND (trivial IS NULL OR trivial)").drop("doc", "clean")
-    taken = bare.join(declared, key).select(
-        *(c if c not in ("doc", "clean") else F.col(f"d.{c}").alias(c) for c in out), F.lit("declaration").alias("doc_from")
-    )
-    return own.unionByName(taken)
+    key = ["scope", "lang", "name", "signature"]
+    one = ["origin", "rec_id", "file", "start"]
+    simple = F.regexp_extract("container", r"([^.]*)$", 1)
+    declared = symbols.where("NOT defined AND NOT trivial").select(*key, F.explode(F.array_distinct(F.array("container", simple))).alias("at"), "file", *texts)
+    declared = declared.groupBy(*key, "at").agg(F.min(F.struct("file", *texts)).alias("d"))
+    defined = symbols.where("defined")
+    asked = defined.where("trivial IS NULL OR trivial").select(*key, *one, F.posexplode(F.concat(F.array("container"), "bases")).alias("place", "at"))
+    taken = asked.join(declared, [*key, "at"]).groupBy(*one).agg(F.min(F.struct("place", *(F.col(f"d.{t}").alias(t) for t in texts))).alias("taken"))
+    chosen = defined.join(taken, one, "left")
+    own = ~F.coalesce("trivial", F.lit(True))
+    source = F.when(own, "own").when(F.col("taken").isNotNull(), "declaration")
+    columns = ["origin", "rec_id", "file", "lang", "container", "name", "signature"]
+    described = [F.when(own, F.col(t)).otherwise(F.col(f"taken.{t}")).alias(t) for t in texts]
+    return chosen.select(*columns, *described, "code", source.alias("doc_from")).where("doc_from IS NOT NULL")
 
 
 def code_sources(chunks: DataFrame, raw_chunks: DataFrame) -> DataFrame:
-    """The contents of both tables as :func:`symbol_table` takes them; a chunk that was indexed again counts once."""
-    once = chunks.where("chunk_id IS NOT NULL").groupBy("chunk_id", F.col("source_file").alias("file"), "content").agg(F.lit(1).alias("one"))
-    return once.select(F.lit("chunks").alias("origin"), F.col("chunk_id").alias("rec_id"), "file", "content").unionByName(
-        raw_chunks.select(F.lit("raw_chunks").alias("origin"), F.col("raw_id").cast("string").alias("rec_id"), F.col("source_file").alias("file"), "content")
+    """The contents of both tables as :func:`symbol_table` takes them; a chunk that was indexed again counts once.
+
+    The project is that of the chunk; raw chunks have none of their own.
+    """
+    project = F.col("scope") if "scope" in chunks.columns else F.lit(None).cast("string")
+    named = chunks.where("chunk_id IS NOT NULL").select("chunk_id", F.col("source_file").alias("file"), "content", project.alias("project"))
+    once = named.groupBy("chunk_id", "file", "content").agg(F.min("project").alias("project"))
+    return once.select(F.lit("chunks").alias("origin"), F.col("chunk_id").alias("rec_id"), "project", "file", "content").unionByName(
+        raw_chunks.select(
+            F.lit("raw_chunks").alias("origin"), F.col("raw_id").cast("string").alias("rec_id"), F.lit(None).cast("string").alias("project"), F.col("source_file").alias("file"), "content"
+        )
     )
 
 
-def documented_functions(chunks: DataFrame, raw_chunks: DataFrame, with_code: bool = True) -> DataFrame:
+def documented_functions(chunks: DataFrame, raw_chunks: DataFrame, with_texts: bool = True) -> DataFrame:
     """Code and description of every function of both tables that has non-trivial documentation.
 
-    Rows with null content, file or id give nothing. Repeated definitions stay; nothing is sampled or capped.
+    Rows with null content, file or id give nothing. Repeated definitions stay; nothing is sampled or capped. The symbol table is written once,
+    without descriptions and code unless ``with_texts``, and joined with itself.
     """
-    return resolve(symbol_table(code_sources(chunks, raw_chunks), with_code))
+    symbols = symbol_table(code_sources(chunks, raw_chunks), with_texts)
+    if not with_texts:
+        symbols = symbols.drop("doc", "clean")
+    return resolve(materialize(symbols, "symbols"), ("doc", "clean") if with_texts else ())

@@ -2,10 +2,18 @@
 
 Three linear support-vector classifiers judge a chunk of a file: one its path (components and the parts of the file name),
 one the comment at its head and one its body (hashed character n-grams both). Each is fitted on a bounded
-sample of chunks of the collection itself. The labels of the sample come from lexicons of well-known conventions, one
-for each view. Whatever gives a label away in one view is masked in the others: the body is seen without the comment at
-its head, the head without names, versions and dates. A share of the repositories is held out; on
-them each threshold is set and the accuracy measured. A file is found if any of its chunks is found by any view.
+sample of chunks of the collection itself.
+
+There are no labels in the data, so weak ones come from facts (:func:`facts`): conventions of paths,
+the shape of a body (packed lines, unbroken runs, shares of digits and numbers), the standard markers of generators, and what a banner refers to (a versioned name, a
+date stamp, an interface definition, a command line, a licence notice that doesn't name the project). A banner of a file whose path or body is
+labelled counts as labelled too. Apart from the standard markers no wording is listed: that of banners is what the head view has to learn.
+
+What a banner refers to is masked from the features of a head, in fitting and in scoring. The standard markers are masked in
+a second copy of each head that is fitted, so that the model must also do without them. The body is seen without its head. Labels of heads are incomplete
+(a banner need not state any fact), so thresholds are set for positive and unlabelled rows: they maximise
+recall ** 2 / share found. Repositories are split: some fit, some set the thresholds, and the rest, seen by neither, measure the very
+classifiers that are used. A file is found if any of its chunks is found by any view.
 """
 
 from __future__ import annotations
@@ -17,39 +25,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import canonical_path
+from corvane.session import materialize
 
-#: Chunks that the classifiers are fitted on, at most about this many; everything is scored.
-SAMPLE_CHUNKS = 12_000
-#: One of so many repositories is held out.
-HELD_OUT = 5
+#: Chunks that are labelled, at most about this many; all of a smaller table. Everything is scored.
+LABELLED_CHUNKS = 120_000
+VIEWS = ("path", "head", "body")
+#: Most rows without and with a label that a view is fitted and measured on.
+SAMPLE = {"path": (6_000, 2_500), "head": (9_000, 3_000), "body": (2_500, 1_000)}
+#: Of so many parts of the repositories one measures and one sets the thresholds; the others are fitted on.
+PARTS = 8
 BITS = 17
 GRAMS_HEAD, GRAMS_BODY = (3, 4, 5), (3, 4)
+#: The cost of an error; heads are labelled less surely, so their margin is softer.
+COST = {"path": 4.0, "head": 0.5, "body": 4.0}
 
-# Conventions by which the sample is labelled.
-_PATH_LABEL = re.compile(
+# Conventions of paths.
+_PATH_FACT = re.compile(
     r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|third[_-]?party|pods|carthage|godeps|vendor|extern|externals?|deps|upstream)/[^/]+/"
     r"|\.min\.\w+$|\.bundle\.\w+$|(?:^|/)(?:chunk-|app\.|main\.|vendors?[.~-]|runtime\.)[0-9a-f]{2,}\.js$"
     r"|\.pb(?:-c)?\.\w+$|_pb2?(?:_grpc)?\.\w+$|\.g\.\w+$|\.generated\.\w+$|\.designer\.\w+$|(?:_gen|_generated)\.\w+$|(?:^|/)zz_generated\.|(?:^|/)lex\.|\.tab\.[ch]$"
     r"|(?:outerclass|grpc)\.java$",
     re.I,
 )
-_HEAD_LABEL = re.compile(
-    r"(?:^|\s)@generated\b|\bcode generated by\b|<auto-?generated|\bauto-?(?:matically )?generated (?:file|code|by|from|on)\b|\bautomatically (?:created|generated|produced|written) (?:by|from)\b"
-    r"|\b(?:file|code) (?:was|is|has been) (?:auto(?:matically)?[ -]?)?(?:generated|produced|created|compiled) (?:by|from|with)\b|\bgenerated (?:by|from|with)\b[^\n]*\bdo not (?:edit|modify)\b"
-    r"|\bregenerate, never\b|\bchanges will be overwritten\b|\bmanual edits are lost\b|\bmaschinell erzeugt\b|\bverbatim copy of\b|\bimported from its release tarball\b"
-    r"|\bbundled dependency\b|\breport bugs to the upstream\b|\bsourcemappingurl=",
+# What a banner refers to: the groups are its facts, and what they match is masked from the features.
+_HEAD_FACTS = re.compile(
+    r"(?P<command>`[^`\n]*\s-{1,2}\w[^`\n]*`)"
+    r"|(?P<definition>\b[\w-]+\.(?:proto|thrift|idl|xsd|wsdl|avsc|fbs|asn1?|g4|graphqls?|capnp)\b)"
+    r"|(?P<date>\b(?:19|20)\d\d-\d\d-\d\d\b)"
+    r"|(?P<licence>\bSPDX-License-Identifier:\s*[\w.+-]+|\(c\)|©|\bcopyright\b|\b(?:MIT|BSD|GPL|LGPL|MPL|ISC|Apache)\b(?:[ -][\d.]+)?)"
+    r"|(?P<versioned>\b(?!(?:version|release|section|chapter|since|from|than|to|in|at|of|by|and|or)\b)[A-Za-z][\w-]*[ ,]+v?\d+\.\d+(?:\.\d+)*\b)",
     re.I,
 )
-_OWN_LABEL = re.compile(r"\bhand-?written\b|\ball code here is ours\b|\bwrites the marker\b", re.I)
-_BODY_LABEL = re.compile(r"[A-Za-z0-9+/=]{240,}|(?:0x[0-9a-fA-F]{1,4}\s*,\s*){24,}|(?:-?\d+(?:\.\d+)?\s*,\s*){60,}|(?:case \d+: goto \w+;[^\n]*\n\s*){8,}|\byy(?:table|_\w+|check|pact|defact)\b")
+#: Banners longer than this are prose, whose numbers and names are no facts.
+BANNER = 400
+# The standard markers of Go, .NET and others at the start of a statement (a quoted marker is spoken of, not made), and all that is masked
+# in the second copy of a head that is fitted.
+_MARKER = re.compile(r"^[ \t/*#;-]*(?:@generated\b|<auto-?generated\b|auto-?generated (?:file|code)\b|code generated\b[^\n]*\bdo not (?:edit|modify)\b)", re.I | re.M)
+_GIVEAWAY = re.compile(r"@generated|</?auto-?generated\s*/?>|\bauto-?generated\b|\bcode generated\b|\bgenerated by\b|\bautomatically generated\b|\bdo not (?:edit|modify)\b", re.I)
 
 _COMMENT = re.compile(r"(?:[ \t]*(?://|#(?!include|define|if|\[|pragma)|--|/\*|\*|<!--)[^\n]*(?:\n|\Z)|[ \t]*\n)*")
 _LAST_COMMENT = re.compile(r"(?:^|\n)[ \t]*(?://|#|/\*|--)[^\n]*\s*\Z")
-_MASK = re.compile(r"\d+(?:[.\-:]\d+)*|\b[\w-]*(?:_|-|gen|lib|js)\b(?=[ ,.:;)]|$)|`[^`\n]*`", re.I)
+_DETACHED = re.compile(r"\s*(?:[ \t]*(?://|#|--|/\*|\*|<!--)[^\n]*\n)+[ \t]*\n")
+_TOKEN = re.compile(r"\w+")
+_UNBROKEN = re.compile(r"[A-Za-z0-9+/=]{200}")
 
 
 def _hash(words: Iterable[str]) -> np.ndarray:
@@ -98,10 +120,19 @@ def path_features(path: str) -> np.ndarray:
     return _hash(words)
 
 
-def head_features(head: str) -> np.ndarray:
-    text = _MASK.sub("0", head.lower())
-    words = re.findall(r"[^\W\d_]+|@|<", text)
-    return np.concatenate([grams(text, GRAMS_HEAD), _hash([f"w {w}" for w in words] + [f"b {a} {b}" for a, b in zip(words, words[1:])])])
+def masked_head(head: str, project: str, without_giveaways: bool = False) -> str:
+    """A head in lower case as the classifier sees it: without the facts that label it, the project's name and numbers."""
+    text = _HEAD_FACTS.sub(lambda m: {"command": " c ", "definition": " f ", "date": "0", "licence": " l ", "versioned": " n 0"}[m.lastgroup], head)
+    if project:
+        text = text.replace(project, " p ")
+    if without_giveaways:
+        text = _GIVEAWAY.sub(" ", text)
+    return re.sub(r"\d+(?:[.\-:]\d+)*", "0", text).lower()
+
+
+def head_features(masked: str) -> np.ndarray:
+    words = re.findall(r"[^\W\d_]+|@|<", masked)
+    return np.concatenate([grams(masked, GRAMS_HEAD), _hash([f"w {w}" for w in words] + [f"b {a} {b}" for a, b in zip(words, words[1:])])])
 
 
 def _vector(features: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -189,102 +220,161 @@ def fit_svm(rows: list[np.ndarray], labels: np.ndarray, counted: bool = False, c
     return Classifier(w[:-1].astype(np.float32), float(w[-1]), counted=counted)
 
 
-def _set_threshold(model: Classifier, rows: list[np.ndarray], labels: np.ndarray) -> dict:
-    """Put the threshold into the widest gap of best F1 near 0; returns the counts at it."""
+def _set_threshold(model: Classifier, rows: list[np.ndarray], labels: np.ndarray) -> None:
+    """Put the threshold where recall ** 2 / share found is highest on rows that are labelled or unlabelled, near 0 and amid its gap.
+
+    With incomplete labels precision can't be measured, but this is in proportion to the squared F1 of the unknown truth.
+    """
+    if not labels.any() or labels.all():
+        return
     s = np.array([model.score(r) for r in rows])
-    if labels.any() and not labels.all():
-        order = np.sort(np.unique(np.clip(s, -1, 1)))
-        cuts = np.concatenate([[0.0], (order[1:] + order[:-1]) / 2])
-        cuts = cuts[np.abs(cuts) <= 0.5]
-        tp = np.array([(labels & (s > x)).sum() for x in cuts])
-        f1 = 2 * tp / np.maximum(tp + np.array([(s > x).sum() for x in cuts]) + labels.sum() - tp, 1)
-        best = cuts[f1 >= f1.max() - 1e-12]
-        model.threshold = float(best[np.abs(best).argmin()])
-    hit = s > model.threshold
-    return {"n": len(s), "positive": int(labels.sum()), "found": int(hit.sum()), "right": int((hit & labels).sum())}
-
-
-def label_views(path: str, head: str, body: str) -> tuple[bool, bool, bool]:
-    """The labels that the conventions give to path, head and body of a chunk."""
+    order = np.unique(np.clip(s, -1, 1))
+    cuts = np.concatenate([[0.0], (order[1:] + order[:-1]) / 2])
+    cuts = cuts[np.abs(cuts) <= 0.5]
+    positive, every = np.sort(s[labels]), np.sort(s)
+    recall = 1 - np.searchsorted(positive, cuts, "right") / len(positive)
+    share = 1 - np.searchsorted(every, cuts, "right") / len(every)
+    value = recall**2 / np.maximum(share, 1 / len(every))
+    best = cuts[value >= value.max() - 1e-12]
+    model.threshold = float(best[np.abs(best).argmin()])
+
+
+def body_fact(body: str) -> bool:
+    """Whether a body has the shape of packed code or data: hardly any white space in long lines, an unbroken run, or mostly numbers."""
     longest = max((len(x) for x in body.split("\n")), default=0)
-    packed = longest >= 300 and body.count(" ") + body.count("\n") < len(body) * 0.12
-    digits = len(re.findall(r"\d", body)) >= 0.3 * max(len(body), 1) and len(body) >= 100
-    return bool(_PATH_LABEL.search(path)), bool(_HEAD_LABEL.search(head)) and not _OWN_LABEL.search(head), packed or digits or bool(_BODY_LABEL.search(body))
+    if longest >= 300 and sum(body.count(c) for c in " \n\t") < len(body) * 0.12 or _UNBROKEN.search(body):
+        return True
+    tokens = _TOKEN.findall(body)
+    if len(tokens) < 40:
+        return False
+    numbered = sum(any(c.isdigit() for c in t) for t in tokens)
+    return numbered >= 0.45 * len(tokens)
 
 
-VIEWS = ("path", "head", "body")
+def head_fact(head: str, project: str) -> bool:
+    """Whether a banner refers to what made it or where it came from; a licence notice that names the project is its own."""
+    if not head.strip() or len(head) > BANNER:
+        return False
+    return _MARKER.search(head) is not None or any(m.lastgroup != "licence" or not project or project not in head for m in _HEAD_FACTS.finditer(head))
 
 
-def _views(path: str, content: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def facts(path: str, content: str, first: bool = True) -> tuple[bool, bool, bool]:
+    """The weak labels of path, head and body of a chunk; ``first`` says that it begins its file."""
     head, body = split_chunk(content)
-    return path_features(path), head_features(head) if head.strip() else np.zeros(0, dtype=np.uint32), grams(body, GRAMS_BODY)
+    by_path, by_body = bool(_PATH_FACT.search(path)), body_fact(body)
+    banner = first and len(head) <= BANNER and _DETACHED.match(head) is not None
+    return by_path, head_fact(head, path.split("/", 1)[0]) or banner and (by_path or by_body), by_body
+
+
+def features(view: str, path: str, text: str, without_giveaways: bool = False) -> np.ndarray:
+    """Feature numbers of one view: of the path, or of the head or body that ``text`` is."""
+    if view == "path":
+        return path_features(path)
+    if view == "body":
+        return grams(text, GRAMS_BODY)
+    return head_features(masked_head(text, path.split("/", 1)[0], without_giveaways))
 
 
 def train(sample: pa.Table) -> tuple[list[Classifier], list[dict]]:
-    """The classifiers of the three views from a sample (path, content), and their counts on held-out repositories."""
-    features: list[list[np.ndarray]] = [[], [], []]
-    labels: list[list[bool]] = [[], [], []]
-    repos: list[list[bool]] = [[], [], []]
-    seen: set[str] = set()
-    for path, content in zip(sample.column("path").to_pylist(), sample.column("content").to_pylist()):
-        held = zlib.crc32(path.split("/", 1)[0].encode()) % HELD_OUT == 0
-        head, body = split_chunk(content)
-        for i, (x, y) in enumerate(zip(_views(path, content), label_views(path, head, body))):
-            if not len(x) or (i == 0 and path in seen):
-                continue
-            features[i].append(x)
-            labels[i].append(y)
-            repos[i].append(held)
-        seen.add(path)
+    """The classifiers of the three views from labelled rows (view, label, path, text), and their counts on repositories kept for measuring.
+
+    A view whose rows all have one label, or that has none, says nothing. The head is measured twice, as it is and without giveaways.
+    """
+    by_view: dict[str, list] = {v: [] for v in VIEWS}
+    for view, label, path, text in zip(*(sample.column(c).to_pylist() for c in ("view", "label", "path", "text"))):
+        by_view[view].append((label, zlib.crc32(path.split("/", 1)[0].encode()) % PARTS, path, text))
     models, counts = [], []
-    for i, view in enumerate(VIEWS):
-        y, h = np.array(labels[i], dtype=bool), np.array(repos[i], dtype=bool)
-        if not y[~h].any() or y[~h].all():  # nothing to tell apart: the view says nothing
-            h = np.zeros(len(y), dtype=bool)
-        if not y.any() or y.all():
-            models.append(Classifier(np.zeros(1 << BITS, dtype=np.float32), -1.0))
-            counts.append({"view": view, "n": int(h.sum()), "positive": 0, "found": 0, "right": 0})
-            continue
-        fitted = fit_svm([x for x, held in zip(features[i], h) if not held], y[~h], counted=view == "body")
-        counts.append({"view": view} | _set_threshold(fitted, [x for x, held in zip(features[i], h) if held], y[h]))
-        # measured and with its threshold set, the view is fitted again on all repositories
-        final = fit_svm(features[i], y, counted=view == "body") if h.any() else fitted
-        final.threshold = fitted.threshold
-        models.append(final)
+    for view, rows in by_view.items():
+        y, part = np.array([r[0] for r in rows], dtype=bool), np.array([r[1] for r in rows], dtype=np.int64)
+        if not y[part > 1].any() or y[part > 1].all():  # too few repositories to keep any apart
+            part = np.full(len(rows), 2)
+        model = Classifier(np.zeros(1 << BITS, dtype=np.float32), -1.0)
+        if y[part > 1].any() and not y[part > 1].all():
+            x = [features(view, r[2], r[3]) for r in rows]
+            used = np.flatnonzero(part > 1)
+            fitted, labels = [x[i] for i in used], [y[i] for i in used]
+            if view == "head":
+                hidden = [i for i in used if _GIVEAWAY.search(rows[i][3])]
+                fitted += [features(view, rows[i][2], rows[i][3], True) for i in hidden]
+                labels += [y[i] for i in hidden]
+            full = [i for i, f in enumerate(fitted) if len(f)]
+            model = fit_svm([fitted[i] for i in full], np.array(labels, dtype=bool)[full], counted=view == "body", c=COST[view])
+            _set_threshold(model, [x[i] for i in np.flatnonzero(part == 1)], y[part == 1])
+        models.append(model)
+        kept = [r for r, p in zip(rows, part) if p == 0]
+        for name, hide in ((view, False), (f"{view} without giveaways", True))[: 2 if view == "head" else 1]:
+            hit = np.array([model.score(features(view, r[2], r[3], hide)) > 0 for r in kept], dtype=bool)
+            truth = np.array([r[0] for r in kept], dtype=bool)
+            counts.append({"view": name, "n": len(kept), "positive": int(truth.sum()), "found": int(hit.sum()), "right": int((hit & truth).sum())})
     return models, counts
 
 
-def _sample(chunks: DataFrame, most: int) -> DataFrame:
-    """About ``most`` chunks, chosen by a hash of file and position, the same in every run."""
-    n = max(chunks.count(), 1)
-    cut = int(min(1.0, most / n) * (1 << 30))
+def _prepared(chunks: DataFrame) -> DataFrame:
+    return chunks.where(F.col("source_file").isNotNull()).select(
+        canonical_path("source_file").alias("path"),
+        F.col("source_file").alias("file"),
+        F.coalesce("content", F.lit("")).alias("content"),
+        (F.coalesce("chunk_index", F.lit(0)) == 0).alias("first"),
+    )
+
+
+def labelled_sample(prepared: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> DataFrame:
+    """view, label, path, text: rows to fit on, at most ``SAMPLE`` of each view and label, chosen by a hash, the same in every run."""
+    n = max(prepared.count(), 1)
+    cut = int(min(1.0, labelled_chunks / n) * (1 << 30))
     place = F.pmod(F.xxhash64("path", "content"), F.lit(1 << 30))
-    return chunks.where(place < cut).orderBy(place, "path", "content")
 
+    def run(batches):
+        kinds = {"view": pa.string(), "label": pa.bool_(), "path": pa.string(), "text": pa.string(), "place": pa.int64()}
+        for b in batches:
+            rows = []
+            for path, content, first, at in zip(*(b.column(c).to_pylist() for c in ("path", "content", "first", "place"))):
+                head, body = split_chunk(content)
+                by_path, by_head, by_body = facts(path, content, first)
+                rows.append(("path", by_path, path, "", zlib.crc32(path.encode())))
+                if head.strip():
+                    rows.append(("head", by_head, path, head, at))
+                if body.strip():
+                    rows.append(("body", by_body, path, body, at))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds.values())], names=list(kinds))
 
-def _prepared(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("source_file").isNotNull()).select(
-        canonical_path("source_file").alias("path"), F.col("source_file").alias("file"), F.coalesce("content", F.lit("")).alias("content")
+    rows = prepared.where(place < cut).select("path", "content", "first", place.alias("place")).mapInArrow(
+        run, "view string, label boolean, path string, text string, place bigint"
     )
+    most = F.lit(0)
+    for view, sizes in SAMPLE.items():
+        most = F.when(F.col("view") == view, F.when(F.col("label"), sizes[1]).otherwise(sizes[0])).otherwise(most)
+    w = Window.partitionBy("view", "label").orderBy("place", "path", "text")
+    largest = max(max(s) for s in SAMPLE.values())
+    # dense ranks take the repeated rows of one path as one; the constant limit is also applied before the exchange
+    ranked = rows.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= largest)
+    return ranked.where(F.col("r") <= most).select("view", "label", "path", "text").distinct().orderBy("view", "label", "path", "text")
+
+
+def fit(chunks: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> tuple[list[Classifier], list[dict]]:
+    """:func:`train` on a bounded sample of the table itself."""
+    return train(labelled_sample(_prepared(chunks), labelled_chunks).toArrow())
 
 
-def held_out_accuracy(chunks: DataFrame, sample_chunks: int = SAMPLE_CHUNKS) -> DataFrame:
-    """Per view: chunks of held-out repositories, labelled, found and rightly found ones, precision and recall."""
-    _, counts = train(_sample(_prepared(chunks), sample_chunks).select("path", "content").toArrow())
+def held_out_accuracy(chunks: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> DataFrame:
+    """Per view: rows of the repositories kept for measuring, labelled, found and rightly found ones, precision and recall.
+
+    Precision is against the weak labels: a right find that no fact labels counts against it.
+    """
+    _, counts = fit(chunks, labelled_chunks)
     rows = [(c["view"], c["n"], c["positive"], c["found"], c["right"]) for c in counts]
     got = chunks.sparkSession.createDataFrame(rows, "view string, n bigint, positive bigint, found bigint, right bigint")
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4))
     return got.withColumns({"precision": share("right", "found"), "recall": share("right", "positive")})
 
 
-def scored_files(chunks: DataFrame, sample_chunks: int = SAMPLE_CHUNKS) -> DataFrame:
+def scored_files(chunks: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> DataFrame:
     """source_file and the highest score of its chunks by view (positive: not hand-written), for every file.
 
     Null files are left out; null and empty contents are judged by their path alone. Repeated rows change nothing.
     The classifiers are fitted on a bounded sample, but every chunk is scored in full.
     """
-    prepared = _prepared(chunks)
-    models, _ = train(_sample(prepared, sample_chunks).select("path", "content").toArrow())
+    models, _ = fit(chunks, labelled_chunks)
     shared = chunks.sparkSession.sparkContext.broadcast(models)  # three arrays of 2**BITS numbers
 
     def run(batches):
@@ -301,15 +391,29 @@ def scored_files(chunks: DataFrame, sample_chunks: int = SAMPLE_CHUNKS) -> DataF
                 scores[i, 0] = by_path[path]
                 head, body = split_chunk(content)
                 if head.strip():
-                    scores[i, 1] = head_model.score(head_features(head))
+                    scores[i, 1] = head_model.score(features("head", path, head))
                 bodies.append(body)
             scores[:, 2] = body_model.score_texts(bodies, GRAMS_BODY)
             yield pa.RecordBatch.from_arrays([b.column("file"), *(pa.array(scores[:, j]) for j in range(3))], names=["source_file", *VIEWS])
 
-    scored = prepared.mapInArrow(run, "source_file string, path double, head double, body double")
+    scored = _prepared(chunks).select("file", "path", "content").mapInArrow(run, "source_file string, path double, head double, body double")
     return scored.groupBy("source_file").agg(*(F.max(v).alias(v) for v in VIEWS))
 
 
-def not_handwritten(chunks: DataFrame, sample_chunks: int = SAMPLE_CHUNKS) -> DataFrame:
+def not_handwritten(chunks: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> DataFrame:
     """source_file of every file that any view finds."""
-    return scored_files(chunks, sample_chunks).where(F.greatest(*VIEWS) > 0).select("source_file")
+    return scored_files(chunks, labelled_chunks).where(F.greatest(*VIEWS) > 0).select("source_file")
+
+
+def against_labels(chunks: DataFrame, labelled_chunks: int = LABELLED_CHUNKS) -> DataFrame:
+    """labelled, found, n: files by whether a fact labels any of their chunks and whether the classifiers find them."""
+
+    def run(batches):
+        for b in batches:
+            hit = [any(facts(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("path", "content", "first")))]
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(hit, type=pa.bool_())], names=["source_file", "labelled"])
+
+    labelled = _prepared(chunks).select("file", "path", "content", "first").mapInArrow(run, "source_file string, labelled boolean")
+    files = labelled.groupBy("source_file").agg(F.max("labelled").alias("labelled"))
+    found = materialize(scored_files(chunks, labelled_chunks), "scored-files").select("source_file", (F.greatest(*VIEWS) > 0).alias("found"))
+    return files.join(found, "source_file").groupBy("labelled", "found").agg(F.count(F.lit(1)).alias("n"))

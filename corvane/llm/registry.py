@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import docpairs, handwritten, neighbours, packing, spans, splitting, tokens
-from corvane.session import table
+from corvane.session import materialize, table
 
 
 def _capacity(spark: SparkSession, sf_dir: str, name: str) -> int:
@@ -19,8 +19,12 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The functions whose documentation stands with them in their own row."""
-    pairs = docpairs.documented_functions(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "raw_chunks"), with_code=False)
+    """The functions whose documentation stands with them in their own row: the exact check of the case definition on the resolved symbol table.
+
+    The resolved table is written, as the check alone would let the optimizer leave the join of the declarations out.
+    """
+    pairs = docpairs.documented_functions(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "raw_chunks"), with_texts=False)
+    pairs = materialize(pairs.select("origin", "rec_id", "name", "doc_from"), "resolved-symbols")
     return pairs.where("doc_from = 'own'").select("origin", "rec_id", F.col("name").alias("func_name")).distinct()
 
 
@@ -45,6 +49,11 @@ def p4_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.held_out_accuracy(table(spark, sf_dir, "chunks"))
 
 
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by whether a fact labels them and whether the classifiers find them."""
+    return handwritten.against_labels(table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf_dir, "chunks"))
 
@@ -94,6 +103,7 @@ QUERIES = {
     "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_accuracy": p4_accuracy,
+    "p4_labels": p4_labels,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p3_found": p3_found,

@@ -7,7 +7,7 @@ from corvane.llm import docpairs as dp
 
 def found(text, lang):
     out = {}
-    for name, _, _, defined, doc, _ in dp.symbols_of(text, lang):
+    for name, _, _, _, defined, doc, _, _ in dp.symbols_of(text, lang):
         if defined and doc is not None and not dp.is_trivial(dp.clean_documentation(doc), name):
             out[name] = dp.clean_documentation(doc)
     return out
@@ -81,13 +81,57 @@ def test_declarations_document_definitions_elsewhere(spark):
     assert dp.documented_functions(chunks.limit(0), raw.limit(0)).count() == 0
 
 
+def described(spark, *files):
+    """What each definition of the files (path, content) gets, by qualified name."""
+    chunks = spark.createDataFrame([(str(i), p, c, "proj", None, None) for i, (p, c) in enumerate(files)], "chunk_id string, source_file string, content string, scope string, name string, doc string")
+    raw = spark.createDataFrame([], RAW)
+    full = dp.documented_functions(chunks, raw).collect()
+    bare = dp.documented_functions(chunks, raw, with_texts=False).collect()
+    assert sorted((r.rec_id, r.name, r.doc_from) for r in full) == sorted((r.rec_id, r.name, r.doc_from) for r in bare)
+    return sorted((f"{r.container}.{r.name}", r.doc_from, r.clean) for r in full)
+
+
+DOC = "Read the first open row."
+
+
+@pytest.mark.parametrize("files,want", [
+    # members declared in a class of a namespace, defined elsewhere, in another first folder
+    ([("include/a.hpp", f"namespace n {{\nclass Foo : public Base {{\n public:\n  // {DOC}\n  int add(const int a, char *b);\n  int add(int a);\n}};\n}}\n"),
+      ("src/a.cpp", "namespace n {\nint Foo::add(int x, char *y) {\n  return g(x);\n}\nint Foo::add(int x) {\n  return x;\n}\n}\n")], [("n.Foo.add", "declaration", DOC)]),
+    ([("include/a.hpp", f"class Foo {{\n  // {DOC}\n  int add(int a);\n}};\n"), ("src/b.cpp", "int Bar::add(int x) {\n  return x;\n}\n")], []),
+    ([("a.h", f"// {DOC}\nint f(int, char *);\n"), ("b.c", "int f(int x, char *y)\n{\n  return 1;\n}\n")], [(".f", "declaration", DOC)]),
+    # interfaces
+    ([("i.ts", f"export interface Store {{\n  // {DOC}\n  load(a: string): Row;\n}}\n"), ("s.ts", "export class Disk implements Store {\n  load(a: string): Row {\n    return get(a);\n  }\n}\n")], [("Disk.load", "declaration", DOC)]),
+    ([("I.java", f"interface Store {{\n    /** {DOC} */\n    Row load(String a);\n}}\n"), ("D.java", "class Disk extends Base implements Store {\n    public Row load(final String key) {\n        return get(key);\n    }\n}\n")], [("Disk.load", "declaration", DOC)]),
+    ([("t.rs", f"pub trait Store {{\n    /// {DOC}\n    fn load(&self, a: &str) -> Row;\n}}\n"), ("d.rs", "impl Store for Disk {\n    fn load(&self, key: &str) -> Row {\n        get(key)\n    }\n}\n")], [("Disk.load", "declaration", DOC)]),
+    ([("k.kt", f"interface Store {{\n    /** {DOC} */\n    fun load(a: String): Row\n}}\n"), ("d.kt", "class Disk(val x: Int) : Base(x), Store {\n    override fun load(key: String): Row {\n        return get(key)\n    }\n}\n")], [("Disk.load", "declaration", DOC)]),
+    # stubs and overloads
+    ([("m.pyi", f'class A:\n    def f(self, a: int) -> int:\n        """{DOC}"""\n'), ("m.py", "class A:\n    def f(self, a: int) -> int:\n        return a\n\n    def g(self, a: int):\n        return a\n")], [("A.f", "declaration", DOC)]),
+    # own documentation goes first; a trivial one doesn't hide the declaration's
+    ([("a.h", f"// {DOC}\nint f(int a);\n"), ("a.c", "// Count the rows of one page.\nint f(int x) {\n}\n")], [(".f", "own", "Count the rows of one page.")]),
+    ([("a.h", f"// {DOC}\nint f(int a);\n"), ("a.c", "// TODO\nint f(int x) {\n}\n")], [(".f", "declaration", DOC)]),
+    # calls within functions are no declarations
+    ([("a.c", f"int g(void) {{\n  // {DOC}\n  row f(int_a, b);\n  return 1;\n}}\n"), ("b.c", "int f(int x, int y) {\n}\n")], []),
+])
+def test_descriptions_go_by_qualified_name_and_signature(spark, files, want):
+    assert described(spark, *files) == want
+
+
+def test_signatures_by_language():
+    sig = dp.normal_signature
+    assert sig("a, b int", "go") == sig("x int, y int", "go") == sig("int, int", "go") == "2:int,int" and sig("m map[string]int, xs ...T", "go") == "2:map[string]int,...T"
+    assert sig("final int a, @Nullable String b", "java") == sig("int x, String y", "java") == "2:int,String" and sig("Map<String, Integer> m", "java") == "1:Map<String, Integer>"
+    assert sig("const char *s, unsigned int n", "c") == sig("char *, unsigned int", "c") and sig("void", "c") == sig("", "c") == "0"
+    assert sig("&self, a: &str", "rust") == "1:&str" and sig("a, b = {}", "js") == "2" and sig("a: string, b?: number", "js") == "2:string,number"
+
+
 def test_signatures():
     assert dp.normal_signature("a: int, b: str = 'x'") == dp.normal_signature("x:int,y : str") == "2:int,str"
-    assert dp.normal_signature("int a, char *b") == "2:int,char *" and dp.normal_signature("self, a, b=1") == "2" and dp.normal_signature("") == "0"
+    assert dp.normal_signature("int a, char *b") == dp.normal_signature("int x, char *", "c") == "2:int,char *" and dp.normal_signature("self, a, b=1") == "2" and dp.normal_signature("") == "0"
 
 
 def test_code_ends_with_the_function():
     text = "def f():\n    return 1\n\n\ndef g():\n    return 2\n"
-    assert [code for *_, code in dp.symbols_of(text, "python")] == ["def f():\n    return 1", "def g():\n    return 2"]
+    assert [x[6] for x in dp.symbols_of(text, "python")] == ["def f():\n    return 1", "def g():\n    return 2"]
     text = "function f() {\n  if (x) {\n  }\n}\n\nfunction g() {\n}\n"
-    assert [code for *_, code in dp.symbols_of(text, "js")][0] == "function f() {\n  if (x) {\n  }\n}"
+    assert [x[6] for x in dp.symbols_of(text, "js")][0] == "function f() {\n  if (x) {\n  }\n}"
