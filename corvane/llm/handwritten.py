@@ -310,11 +310,12 @@ def train(sample: pa.Table) -> tuple[list[Classifier], list[dict]]:
 
 
 def _prepared(chunks: DataFrame) -> DataFrame:
+    index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(0)
     return chunks.where(F.col("source_file").isNotNull()).select(
         canonical_path("source_file").alias("path"),
         F.col("source_file").alias("file"),
         F.coalesce("content", F.lit("")).alias("content"),
-        (F.coalesce("chunk_index", F.lit(0)) == 0).alias("first"),
+        (F.coalesce(index, F.lit(0)) == 0).alias("first"),
     )
 
 
