@@ -57,11 +57,13 @@ _HEAD_FACTS = re.compile(
     r"|(?P<definition>\b[\w-]+\.(?:proto|thrift|idl|xsd|wsdl|avsc|fbs|asn1?|g4|graphqls?|capnp)\b)"
     r"|(?P<date>\b(?:19|20)\d\d-\d\d-\d\d\b)"
     r"|(?P<licence>\bSPDX-License-Identifier:\s*[\w.+-]+|\(c\)|©|\bcopyright\b|\b(?:MIT|BSD|GPL|LGPL|MPL|ISC|Apache)\b(?:[ -][\d.]+)?)"
-    r"|(?P<versioned>\b(?!(?:version|release|section|chapter|since|from|than|to|in|at|of|by|and|or)\b)[A-Za-z][\w-]*[ ,]+v?\d+\.\d+(?:\.\d+)*\b)",
+    r"|(?P<versioned>\b(?!(?:version|release|section|chapter|since|from|than|to|in|at|of|by|and|or)\b)[A-Za-z][\w-]*[ ,]+v?\d+\.\d+(?:\.\d+)*\b(?!\s*(?:%|[munk]?s\b|[kmg]i?b\b)))",
     re.I,
 )
-#: Banners longer than this are prose, whose numbers and names are no facts.
+#: A banner begins a file and is followed by an empty line. Those longer than this are prose, whose numbers and names are no facts.
 BANNER = 400
+#: Numbers from which a table isn't a small one.
+LARGE_TABLE = 80
 # The standard markers of Go, .NET and others at the start of a statement (a quoted marker is spoken of, not made), and all that is masked
 # in the second copy of a head that is fitted.
 _MARKER = re.compile(r"^[ \t/*#;-]*(?:@generated\b|<auto-?generated\b|auto-?generated (?:file|code)\b|code generated\b[^\n]*\bdo not (?:edit|modify)\b)", re.I | re.M)
@@ -245,25 +247,22 @@ def body_fact(body: str) -> bool:
     if longest >= 300 and sum(body.count(c) for c in " \n\t") < len(body) * 0.12 or _UNBROKEN.search(body):
         return True
     tokens = _TOKEN.findall(body)
-    if len(tokens) < 40:
-        return False
     numbered = sum(any(c.isdigit() for c in t) for t in tokens)
-    return numbered >= 0.45 * len(tokens)
+    return numbered >= LARGE_TABLE and numbered >= 0.45 * len(tokens)
 
 
 def head_fact(head: str, project: str) -> bool:
     """Whether a banner refers to what made it or where it came from; a licence notice that names the project is its own."""
-    if not head.strip() or len(head) > BANNER:
-        return False
-    return _MARKER.search(head) is not None or any(m.lastgroup != "licence" or not project or project not in head for m in _HEAD_FACTS.finditer(head))
+    return any(m.lastgroup != "licence" or not project or project not in head for m in _HEAD_FACTS.finditer(head))
 
 
 def facts(path: str, content: str, first: bool = True) -> tuple[bool, bool, bool]:
     """The weak labels of path, head and body of a chunk; ``first`` says that it begins its file."""
     head, body = split_chunk(content)
     by_path, by_body = bool(_PATH_FACT.search(path)), body_fact(body)
+    marked = _MARKER.search(head) is not None
     banner = first and len(head) <= BANNER and _DETACHED.match(head) is not None
-    return by_path, head_fact(head, path.split("/", 1)[0]) or banner and (by_path or by_body), by_body
+    return by_path, marked or banner and (by_path or by_body or head_fact(head, path.split("/", 1)[0])), by_body
 
 
 def features(view: str, path: str, text: str, without_giveaways: bool = False) -> np.ndarray:
