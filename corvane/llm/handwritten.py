@@ -323,6 +323,8 @@ def labelled_sample(prepared: DataFrame, labelled_chunks: int = LABELLED_CHUNKS)
     n = max(prepared.count(), 1)
     cut = int(min(1.0, labelled_chunks / n) * (1 << 30))
     place = F.pmod(F.xxhash64("path", "content"), F.lit(1 << 30))
+    # of the many unlabelled heads and bodies three times as many as wanted are passed on
+    enough = {view: cut * min(1.0, 3 * sizes[0] / min(n, labelled_chunks)) for view, sizes in SAMPLE.items()}
 
     def run(batches):
         kinds = {"view": pa.string(), "label": pa.bool_(), "path": pa.string(), "text": pa.string(), "place": pa.int64()}
@@ -332,9 +334,9 @@ def labelled_sample(prepared: DataFrame, labelled_chunks: int = LABELLED_CHUNKS)
                 head, body = split_chunk(content)
                 by_path, by_head, by_body = facts(path, content, first)
                 rows.append(("path", by_path, path, "", zlib.crc32(path.encode())))
-                if head.strip():
+                if head.strip() and (by_head or at < enough["head"]):
                     rows.append(("head", by_head, path, head, at))
-                if body.strip():
+                if body.strip() and (by_body or at < enough["body"]):
                     rows.append(("body", by_body, path, body, at))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds.values())], names=list(kinds))
 
