@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import collections
+import functools
+import hashlib
 import html as html_module
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,14 +97,46 @@ def content_words(text: Column | str) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
 
 
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def word_tokens(word: str) -> tuple[str, ...]:
+    """The tokens of one identifier: the same as :func:`identifier_tokens`, for workers that walk whole texts."""
+    low = word.lower()
+    return (low, *(x for x in map(str.lower, _PIECE.findall(word)) if x != low))
+
+
+def token_counts(text: str) -> collections.Counter:
+    """The identifier tokens of a text with their counts; each distinct word is taken apart once."""
+    counts: collections.Counter = collections.Counter()
+    for word, n in collections.Counter(_WORD.findall(text)).items():
+        for t in word_tokens(word):
+            counts[t] += n
+    return counts
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _bucket(token: str, dimensions: int) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
+
+
 def hashed_embedding(text: Column | str, dimensions: int = 64) -> Column:
     """A deterministic stand-in for a model: counts of tokens by their MD5 bucket, as array of float.
 
-    Null and empty texts give zeros. Any ``str -> array<float>`` function may take its place.
+    Null and empty texts give zeros. Any ``str -> array<float>`` function may take its place. Arrow batches; one pass over the tokens.
     """
-    buckets = F.transform(identifier_tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    return F.aggregate(buckets, zeros, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float")).otherwise(x)))
+
+    def embed(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dimensions), dtype=np.float32)
+        for row, t in enumerate(texts.to_pylist()):
+            if t:
+                for token, n in token_counts(t).items():
+                    out[row, _bucket(token, dimensions)] += n
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dimensions), pa.array(out.ravel()))
+
+    return F.arrow_udf(embed, "array<float>")(_col(text))
 
 
 # --- citations ------------------------------------------------------------------------------------

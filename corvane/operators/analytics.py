@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,25 +150,29 @@ def entry_hash(previous: Column, body: Column) -> Column:
 def build_chain(entries: DataFrame, key: str, order: list[str], body: Column) -> DataFrame:
     """Chain the entries of each key: line, body, prev_hash, entry_hash.
 
-    Building is sequential within a key, so it folds over the ordered entries of one; different keys run in parallel.
+    A chain is sequential within its key, so the sorted entries of a partition stream through one task, which holds nothing but the last hash;
+    no key is ever collected. Null keys are one key; a null body is hashed as nothing.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(*order, body.alias("body")))).alias("e")
-    fold = F.aggregate(
-        "e",
-        F.expr("cast(array() as array<struct<line:bigint,body:string,prev_hash:string,entry_hash:string>>)"),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (F.size(acc) + 1).cast("bigint").alias("line"),
-                    x["body"].alias("body"),
-                    F.coalesce(F.try_element_at(acc, F.lit(-1))["entry_hash"], F.lit(GENESIS)).alias("prev_hash"),
-                    entry_hash(F.coalesce(F.try_element_at(acc, F.lit(-1))["entry_hash"], F.lit(GENESIS)), x["body"]).alias("entry_hash"),
-                )
-            ),
-        ),
-    )
-    return entries.groupBy(key).agg(ordered).select(key, F.inline(fold))
+    kind = entries.schema[key].dataType.simpleString()
+
+    def run(batches):
+        at, line, last = object(), 0, GENESIS
+        for b in batches:
+            lines, before, hashes = [], [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != at:
+                    at, line, last = k, 0, GENESIS
+                line += 1
+                lines.append(line)
+                before.append(last)
+                last = hashlib.sha256((last if text is None else f"{last}|{text}").encode("utf-8", "surrogatepass")).hexdigest()
+                hashes.append(last)
+            columns = [b.column(0), pa.array(lines, pa.int64()), b.column(1), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "line", "body", "prev_hash", "entry_hash"])
+
+    placed = entries.select(F.col(key).alias("__k"), body.cast("string").alias("__b"), *order)
+    ordered = placed.repartition("__k").sortWithinPartitions("__k", *order).select("__k", "__b")
+    return ordered.mapInArrow(run, f"{key} {kind}, line bigint, body string, prev_hash string, entry_hash string")
 
 
 def verify_chain(chain: DataFrame, key: str) -> DataFrame:

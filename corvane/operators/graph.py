@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import canonical_path, parent_dir
-from corvane.session import materialize
+from corvane.session import discard, materialize
 
 EXTERNAL = "_external_"
 EDGE_KEY = ("source_file", "source_symbol", "target_file", "target_symbol", "edge_type")
@@ -89,17 +89,12 @@ def callers_of(edge_links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataF
     return neighbours(edge_links, seeds, depth, "callers").groupBy("seed").agg(F.sort_array(F.collect_set("file")).alias("callers"))
 
 
-#: Graphs of at most so many links are iterated in the memory of one task; larger ones by joins.
-SMALL_GRAPH_LINKS = 1_000_000
-
-
-def _pagerank_in_memory(edge_links: DataFrame, iterations: int, alpha: float, seeds: DataFrame | None, tolerance: float | None) -> DataFrame:
-    """The same iteration as :func:`pagerank` over a graph whose size was checked, by numpy in one task."""
-    own = [] if seeds is None else [seeds.select(F.lit(None).cast("string").alias("src"), F.col("file").alias("dst"))]
+def _pagerank_in_memory(edge_links: DataFrame, iterations: int, alpha: float, seeds: DataFrame | None, tolerance: float | None, check_every: int) -> DataFrame:
+    """The same iteration as :func:`pagerank`, by numpy in one task."""
     given = edge_links.select("src", "dst")
-    for s in own:
-        given = given.unionByName(s)
     seeded = seeds is not None
+    if seeded:
+        given = given.unionByName(seeds.select(F.lit(None).cast("string").alias("src"), F.col("file").alias("dst")))
 
     def run(table: pa.Table) -> pa.Table:
         src, dst = (np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst"))
@@ -116,26 +111,29 @@ def _pagerank_in_memory(edge_links: DataFrame, iterations: int, alpha: float, se
             return pa.table({"file": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         degree = np.bincount(a, minlength=n)
         rank = tele.copy()
-        for _ in range(iterations):
+        for i in range(1, iterations + 1):
             flow = np.bincount(b, weights=(rank / np.maximum(degree, 1))[a], minlength=n)
             new = alpha * (flow + rank[degree == 0].sum() * tele) + (1 - alpha) * tele
             moved, rank = np.abs(new - rank).sum(), new
-            if tolerance is not None and moved < n * tolerance:
+            if tolerance is not None and i % check_every == 0 and moved < n * tolerance:
                 break
         return pa.table({"file": pa.array(names.tolist(), pa.string()), "score": pa.array(rank)})
 
     return given.groupBy(F.lit(1).alias("one")).applyInArrow(run, "file string, score double")
 
 
-def pagerank(edge_links: DataFrame, iterations: int = 20, alpha: float = 0.85, seeds: DataFrame | None = None, tolerance: float | None = None, cut_every: int = 5) -> DataFrame:
+def pagerank(
+    edge_links: DataFrame, iterations: int = 20, alpha: float = 0.85, seeds: DataFrame | None = None, tolerance: float | None = None, check_every: int = 5, in_memory: bool = False
+) -> DataFrame:
     """PageRank of all files: file, score. With ``seeds`` (file), restarts and dangling mass go to the seeds in the graph.
 
-    Power iteration; stops after ``iterations`` or once the L1 change is below ``tolerance`` times the number of nodes. No seed
-    in the graph gives no rows. The out-degree travels with the ranks, and the dangling mass is part of the same plan. A
-    graph of at most SMALL_GRAPH_LINKS links is iterated in one task instead.
+    Power iteration by joins; stops after ``iterations`` or once, at every ``check_every``-th step, the L1 change is below ``tolerance`` times the number of
+    nodes. No seed in the graph gives no rows. The out-degree travels with the ranks. Every step is written to the shared folder and the one before it
+    deleted, so a step reads one table and the loss of an executor costs one step. ``in_memory`` iterates in one task instead, with the
+    same results; it is the caller's choice for graphs that are known to be small and never taken by itself.
     """
-    if edge_links.count() <= SMALL_GRAPH_LINKS:
-        return _pagerank_in_memory(edge_links, iterations, alpha, seeds, tolerance)
+    if in_memory:
+        return _pagerank_in_memory(edge_links, iterations, alpha, seeds, tolerance, check_every)
     nodes = edge_links.select(F.col("src").alias("file")).union(edge_links.select("dst")).distinct()
     degree = edge_links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     base = nodes.join(degree.withColumnRenamed("src", "file"), "file", "left")
@@ -147,9 +145,8 @@ def pagerank(edge_links: DataFrame, iterations: int = 20, alpha: float = 0.85, s
     counts = base.agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("s")).first()  # one row
     if not counts.n or not counts.s:
         return base.select("file", F.lit(0.0).alias("score")).limit(0)
-    teleport = F.coalesce(F.col("own"), F.lit(0)) / F.lit(float(counts.s))
-    base = base.withColumn("tele", teleport).drop("own")
-    ranks = base.withColumn("score", F.col("tele") if seeds is not None else F.lit(1.0 / counts.n))
+    base = base.withColumn("tele", F.coalesce(F.col("own"), F.lit(0)) / F.lit(float(counts.s))).drop("own")
+    ranks = base.withColumn("score", F.col("tele"))
     for i in range(1, iterations + 1):
         shares = ranks.where("deg IS NOT NULL").select(F.col("file").alias("src"), (F.col("score") / F.col("deg")).alias("x"))
         inflow = edge_links.join(shares, "src").groupBy(F.col("dst").alias("file")).agg(F.sum("x").alias("x"))
@@ -157,13 +154,13 @@ def pagerank(edge_links: DataFrame, iterations: int = 20, alpha: float = 0.85, s
         new = base.join(inflow, "file", "left").join(F.broadcast(dangling)).select(
             "file", "deg", "tele", (alpha * (F.coalesce("x", F.lit(0.0)) + F.col("d") * F.col("tele")) + (1 - alpha) * F.col("tele")).alias("score")
         )
-        check = tolerance is not None and i % cut_every == 0
-        old = ranks
-        ranks = materialize(new, f"ranks-{i}") if i % cut_every == 0 or i == iterations else new
-        if check:
+        old, ranks = ranks, materialize(new, f"ranks-{i}")
+        moved = None
+        if tolerance is not None and i % check_every == 0:
             moved = ranks.join(old.select("file", F.col("score").alias("was")), "file").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
-            if moved < counts.n * tolerance:
-                break
+        discard(old)
+        if moved is not None and moved < counts.n * tolerance:
+            break
     return ranks.select("file", "score")
 
 
@@ -265,18 +262,44 @@ def is_external(symbol: Column, source: Column, own_go_modules: tuple[str, ...]
     return F.coalesce(out, F.lit(False))
 
 
+def namespaces(files: DataFrame) -> DataFrame:
+    """segment and ``plain``: the parts of all paths of a project, and (``plain`` is false) the dotted pieces of its folders."""
+    path = files.select(F.split(canonical_path("file"), "/").alias("p")).where("p IS NOT NULL")
+    plain = path.select(F.explode("p").alias("segment"), F.lit(True).alias("plain"))
+    dotted = path.select(F.explode(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0)))).alias("folder")).where(F.contains("folder", F.lit(".")))
+    pieces = dotted.select(F.explode(F.split("folder", r"\.")).alias("segment"), F.lit(False).alias("plain"))
+    return plain.unionByName(pieces).where("segment <> ''").groupBy("segment").agg(F.max("plain").alias("plain"))
+
+
+def with_external(edges: DataFrame, files: DataFrame, own_go_modules: tuple[str, ...] = ()) -> DataFrame:
+    """``edges`` with ``external``: whether the symbol that named no file of the project is from a library.
+
+    Besides :func:`is_external`, a Python symbol, and one that a C# file imports, is from a library if its first segment is none of the project's
+    own ``namespaces``; for C# those of dotted folders (``Acme.Api/``) count too. ``edges`` have source_file, target_symbol and edge_type.
+    """
+    symbol, source = F.col("target_symbol"), F.col("source_file")
+    python, csharp = _ends(source, (".py",)), _ends(source, (".cs", ".cshtml")) & (F.col("edge_type") == "imports")
+    named = F.when(python, F.trim(F.split(symbol, " as ").getItem(0))).when(csharp, symbol)
+    first = F.split(named, r"\.").getItem(0)
+    own = namespaces(files).select(F.col("segment").alias("__segment"), F.col("plain").alias("__plain"))
+    joined = edges.withColumn("__first", first).join(own, F.col("__first") == F.col("__segment"), "left")
+    foreign = (F.col("__first") != "") & F.when(python, ~F.coalesce("__plain", F.lit(False))).otherwise(F.col("__segment").isNull())
+    external = is_external(symbol, source, own_go_modules) | F.coalesce(foreign, F.lit(False))
+    return joined.withColumn("external", external).drop("__first", "__segment", "__plain")
+
+
 # --- maintenance ----------------------------------------------------------------------------------
 
 
 def delete_outgoing(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges without those that start in ``files`` (file)."""
-    return edges.join(files.select(F.col("file").alias("__f")), F.col("source_file") == F.col("__f"), "left_anti")
+    """Edges without those that start in ``files`` (file), in whatever spelling."""
+    return edges.join(files.select(canonical_path("file").alias("__f")).distinct(), canonical_path("source_file") == F.col("__f"), "left_anti")
 
 
 def delete_referencing(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges without those that start or end in ``files``; the placeholders for unresolved and external ends are refused."""
-    gone = files.where(~F.col("file").isin("", EXTERNAL)).select(F.col("file").alias("__f"))
-    return delete_outgoing(edges, gone.withColumnRenamed("__f", "file")).join(gone, F.col("target_file") == F.col("__f"), "left_anti")
+    """Edges without those that start or end in ``files``, in whatever spelling; the placeholders for unresolved and external ends are refused."""
+    gone = files.select(canonical_path("file").alias("file")).where(~F.col("file").isin("", EXTERNAL)).distinct()
+    return delete_outgoing(edges, gone).join(gone.withColumnRenamed("file", "__f"), canonical_path("target_file") == F.col("__f"), "left_anti")
 
 
 def delete_ghosts(edges: DataFrame, current: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.paths import canonical_path
+
 UNREADABLE = "__unreadable__"
 
 
@@ -43,6 +45,18 @@ def delete_by(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_anti")
 
 
+def ended_files(manifest: DataFrame) -> DataFrame:
+    """file: the canonical paths whose lives have all ended; a file with a second, living row isn't gone. Null files give none."""
+    lives = manifest.where("file IS NOT NULL").groupBy(canonical_path("file").alias("file"))
+    return lives.agg(F.every(F.col("deleted_at").isNotNull()).alias("ended")).where("ended").select("file")
+
+
+def delete_files(df: DataFrame, files: DataFrame, column: str = "source_file") -> DataFrame:
+    """Rows whose ``column`` names none of ``files`` (file), in whatever spelling; null paths stay."""
+    gone = files.select(canonical_path("file").alias("__f")).distinct()
+    return df.join(gone, canonical_path(column) == F.col("__f"), "left_anti")
+
+
 def carry_over(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both; a column that ``new`` doesn't know (null) keeps its old value."""
     other = [c for c in old.columns if c not in key]
@@ -52,15 +66,10 @@ def carry_over(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
 
 
 def drop_files(files: DataFrame, chunks: DataFrame, edges: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks, edges (at both ends) and manifest without ``files`` (file)."""
+    """Chunks, edges (at both ends) and manifest without ``files`` (file); paths are compared in their canonical spelling."""
     from corvane.operators.graph import delete_referencing
 
-    gone = files.select("file").distinct()
-    return (
-        chunks.join(gone, chunks["source_file"] == gone["file"], "left_anti"),
-        delete_referencing(edges, gone),
-        manifest.join(gone, "file", "left_anti"),
-    )
+    return delete_files(chunks, files), delete_referencing(edges, files), delete_files(manifest, files, "file")
 
 
 def index_gates(projects: DataFrame, model: str) -> DataFrame:
@@ -92,6 +101,21 @@ def fallback_decision(results: DataFrame, complete: DataFrame, least: float = 0.
     return top.join(F.broadcast(n)).select("n_results", "top_score", "n_complete", (wanted & (F.col("n_complete") > 0)).alias("fall_back"))
 
 
+#: Changed files from which a project is indexed again as a whole.
+FULL_SWEEP = 50
+
+
+def sweep_actions(changes: DataFrame, projects: DataFrame, least: int = FULL_SWEEP) -> DataFrame:
+    """project, n_changed and action of a sweep: ``full`` from ``least`` changed files on (``resume`` if the index is incomplete), ``files`` for fewer, ``none``.
+
+    ``changes``: project, file, state as of :func:`diff`. ``projects``: project, incomplete.
+    """
+    n = changes.where("state IN ('new', 'changed', 'deleted')").groupBy("project").agg(F.count(F.lit(1)).alias("n_changed"))
+    many = F.coalesce("n_changed", F.lit(0)) >= least
+    action = F.when(many & F.coalesce("incomplete", F.lit(False)), "resume").when(many, "full").when(F.coalesce("n_changed", F.lit(0)) > 0, "files").otherwise("none")
+    return projects.select("project", "incomplete").join(n, "project", "left").select("project", F.coalesce("n_changed", F.lit(0)).alias("n_changed"), action.alias("action"))
+
+
 def sweep_plan(projects: DataFrame) -> DataFrame:
     """Order in which projects are refreshed: models by their total size, then projects by size and path.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import collections
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import identifier_tokens, lower_words
+from corvane.functions.text import lower_words, token_counts
 from corvane.session import materialize
 
 RRF_K = 60
@@ -40,23 +43,39 @@ def bm25(candidates: DataFrame, id_col: str, text: Column, query: str, k1: float
     Statistics are those of the candidate set. The IDF of a token is ln(N - df + .5) - ln(df + .5), negative ones become epsilon
     times the mean IDF. A candidate stays if it shares a token with the query, whatever its score.
     """
-    spark = candidates.sparkSession
-    docs = candidates.select(F.col(id_col), identifier_tokens(text).alias("toks"))
-    # tokenised once: all statistics come from the written term counts
-    terms = materialize(docs.select(id_col, F.explode("toks").alias("tok")).groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("tf")), "terms")
-    sized = terms.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    counted = candidates.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(terms.agg(F.sum("tf").alias("all"))))  # one row each
-    total = counted.select("n", (F.col("all") / F.col("n")).alias("avgdl"))
-    df = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(total)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))  # one row
-    asked = spark.range(1).select(F.explode(identifier_tokens(F.lit(query))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("qf"))
-    weights = raw.join(F.broadcast(asked), "tok").join(F.broadcast(mean)).select(
-        "tok", "qf", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
-    )
-    hits = terms.join(F.broadcast(weights), "tok").join(sized.select(F.col(id_col), "dl"), id_col)
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    asked = token_counts(query)
+    words = sorted(asked)
+    kind = candidates.schema[id_col].dataType.simpleString()
+    texts = candidates.select(F.col(id_col).alias("__id"), text.alias("__t"))
+
+    def frequencies(batches):
+        # summed up within a batch first, so a common token is one row of it
+        for b in batches:
+            df = collections.Counter()
+            for t in b.column(0).to_pylist():
+                df.update(token_counts(t or "").keys())
+            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["tok", "df"])
+
+    def measure(batches):
+        for b in batches:
+            counts = [token_counts(t or "") for t in b.column(1).to_pylist()]
+            tf = pa.array([[c[w] for w in words] for c in counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.total() for c in counts], pa.int64()), tf], names=[id_col, "dl", "tf"])
+
+    # a document stays one row: its length and the counts of the query's tokens
+    measured = materialize(texts.mapInArrow(measure, f"{id_col} {kind}, dl bigint, tf array<bigint>"), "measured")
+    total = measured.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))  # one row
+    df = texts.select("__t").mapInArrow(frequencies, "tok string, df bigint").groupBy("tok").agg(F.sum("df").alias("df"))
+    idf = df.join(F.broadcast(total)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    known = F.map_from_entries(F.collect_list(F.when(F.col("tok").isin(*words), F.struct("tok", "idf"))))  # at most one entry for each token of the query
+    stats = idf.agg(F.first("avgdl").alias("avgdl"), F.avg("idf").alias("mean_idf"), known.alias("idf"))
+    parts = F.lit(0.0)
+    for i, w in enumerate(words):
+        tf, own = F.col("tf")[i], F.try_element_at("idf", F.lit(w))
+        weight = F.when(own < 0, epsilon * F.col("mean_idf")).otherwise(own)
+        parts = parts + F.when(tf > 0, asked[w] * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    hits = measured.where(F.exists("tf", lambda x: x > 0) if words else F.lit(False))
+    return hits.join(F.broadcast(stats)).select(id_col, F.round(parts, 6).alias("score"))
 
 
 def edge_weight(edge_type: Column | str) -> Column:

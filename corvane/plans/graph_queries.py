@@ -15,7 +15,7 @@ from corvane.session import materialize, table
 #: Steps of the queries that SQL unrolls; the converged ones have no SQL.
 ITERATIONS = 5
 #: The reference's bound of the steps, and the mean change of a score at which they end; its own 1e-6 hardly takes a step on large graphs.
-CONVERGED = {"iterations": 100, "tolerance": 1e-12}
+CONVERGED = {"iterations": 100, "tolerance": 1e-12, "in_memory": True}
 SEEDS = 3
 
 
@@ -33,7 +33,14 @@ def edge_counters(s: SparkSession, d: str) -> DataFrame:
 
 
 def change_signature(s: SparkSession, d: str) -> DataFrame:
-    return graph.change_signature(table(s, d, "edges"), "edge_id", "source_file", "target_file").select("n", "max_id")
+    """Two tables with the same rows in another order have one signature; without one row it's another."""
+    e = table(s, d, "edges")
+    sign = lambda t, name: graph.change_signature(t, "edge_id", "source_file", "target_file").select(F.lit(name).alias("state"), "n", "max_id", "checksum")
+    first = e.agg(F.min("edge_id").alias("least"))
+    fewer = e.join(F.broadcast(first), F.col("edge_id") > F.col("least")).drop("least")
+    states = sign(e, "whole").unionByName(sign(e.repartition("target_symbol"), "moved")).unionByName(sign(fewer, "fewer"))
+    whole = sign(e, "whole").select(F.col("checksum").alias("before"))
+    return states.join(F.broadcast(whole)).select("state", "n", "max_id", (F.col("checksum") == F.col("before")).alias("unchanged"))
 
 
 def neighbours_dependencies(s: SparkSession, d: str) -> DataFrame:
@@ -61,6 +68,11 @@ def personalized_pagerank(s: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(links, ITERATIONS, seeds=_seeds(links).select(F.col("seed").alias("file"))).select("file", F.round("score", 8).alias("score"))
 
 
+def pagerank_in_memory(s: SparkSession, d: str) -> DataFrame:
+    """:func:`pagerank` by the choice for small graphs."""
+    return graph.pagerank(_links(s, d), ITERATIONS, in_memory=True).select("file", F.round("score", 8).alias("score"))
+
+
 def pagerank_converged(s: SparkSession, d: str) -> DataFrame:
     """The scores that the power iteration tends to, of which :func:`pagerank` gives the first steps."""
     return graph.pagerank(_links(s, d), **CONVERGED).select("file", F.round("score", 8).alias("score"))
@@ -77,7 +89,7 @@ def ghost_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def delete_referencing(s: SparkSession, d: str) -> DataFrame:
-    gone = table(s, d, "manifest").where("deleted_at IS NOT NULL").select("file").distinct()
+    gone = index.ended_files(table(s, d, "manifest"))
     return graph.delete_referencing(graph.canonical_edges(table(s, d, "edges")), gone).groupBy("edge_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -88,8 +100,10 @@ def resolved_symbols(s: SparkSession, d: str) -> DataFrame:
 
 
 def external_symbols(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "edges").select(canonical_path("source_file").alias("source_file"), "target_symbol").where("source_file IS NOT NULL").distinct()
-    return e.select(graph.is_external(F.col("target_symbol"), F.col("source_file")).alias("external")).groupBy("external").agg(F.count(F.lit(1)).alias("n"))
+    """Distinct references by file, symbol and kind: whether the symbol is a library's."""
+    e = table(s, d, "edges").select(canonical_path("source_file").alias("source_file"), "target_symbol", "edge_type").where("source_file IS NOT NULL").distinct()
+    files = table(s, d, "manifest").select("file").unionByName(table(s, d, "shared_files").select("file"))
+    return graph.with_external(e, files).groupBy("external", "edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- index ----------------------------------------------------------------------------------------
@@ -115,12 +129,12 @@ def upsert_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def delete_by_source(s: SparkSession, d: str) -> DataFrame:
-    gone = table(s, d, "manifest").where("deleted_at IS NOT NULL").select(F.col("file").alias("source_file"))
-    return index.delete_by(table(s, d, "chunks"), gone, "source_file").groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    gone = index.ended_files(table(s, d, "manifest"))
+    return index.delete_files(table(s, d, "chunks"), gone).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dropped_files(s: SparkSession, d: str) -> DataFrame:
-    gone = table(s, d, "manifest").where("deleted_at IS NOT NULL").select("file")
+    gone = index.ended_files(table(s, d, "manifest"))
     parts = index.drop_files(gone, table(s, d, "chunks"), table(s, d, "edges"), table(s, d, "manifest"))
     counted = [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, p in zip(("chunks", "edges", "manifest"), parts)]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
@@ -203,7 +217,7 @@ def usable_hits(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        full_index, ingested_documents, topic_search, usable_hits, edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, pagerank_converged, personalized_pagerank_converged, ghost_edges, delete_referencing, resolved_symbols,
+        full_index, ingested_documents, topic_search, usable_hits, edge_counters, change_signature, neighbours_dependencies, neighbours_both, callers, pagerank, personalized_pagerank, pagerank_in_memory, pagerank_converged, personalized_pagerank_converged, ghost_edges, delete_referencing, resolved_symbols,
         external_symbols, manifest_diff, upsert_chunks, delete_by_source, dropped_files, registry_update, index_gates, project_coverage, fallback_decision, sweep_plan,
     )
 }
@@ -248,7 +262,7 @@ def _ranks(personal: bool) -> str:
 _PROJECTS = """p AS (SELECT project, n_files, CASE WHEN n_files % 5 = 0 THEN NULL WHEN n_files % 3 = 0 THEN 'model-b' ELSE 'model-a' END AS model_id, n_files % 2 = 0 AS incomplete
   FROM (SELECT scope AS project, count(DISTINCT source_file) AS n_files FROM chunks GROUP BY scope)),
   g AS (SELECT project, CASE WHEN model_id IS NULL THEN 'unknown model' WHEN model_id <> 'model-a' THEN 'other model' WHEN incomplete THEN 'incomplete' ELSE 'ok' END AS reason FROM p)"""
-_GONE = "gone AS (SELECT DISTINCT file FROM manifest WHERE deleted_at IS NOT NULL)"
+_GONE = f"""alive AS (SELECT {_P.format('file')} AS f FROM manifest WHERE deleted_at IS NULL), gone AS (SELECT {_P.format('file')} AS file FROM manifest WHERE file IS NOT NULL EXCEPT SELECT f FROM alive)"""
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _suffix = lambda c, xs: "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in xs) + ")"
 
@@ -265,35 +279,43 @@ SQL = {
       FROM (SELECT row_id, content, {_P.format('source_file')} AS f FROM chunks WHERE content IS NOT NULL) WHERE lower(regexp_extract(f, '(\.[^./]+)$', 1)) IN {_CODE} AND regexp_matches(content, '[^\s\x0b]')) WHERE i = 1""",
     "edge_counters": """SELECT count(*) AS n_edges, count(*) FILTER (WHERE target_file NOT IN ('', '_external_')) AS n_resolved,
       count(*) FILTER (WHERE target_file = '_external_') AS n_external, count(*) FILTER (WHERE target_file IS NULL OR target_file = '') AS n_unresolved FROM edges""",
-    "change_signature": "SELECT count(*) AS n, max(edge_id) AS max_id FROM edges",
+    "change_signature": """SELECT unnest(['whole', 'moved']) AS state, count(*) AS n, max(edge_id) AS max_id, true AS unchanged FROM edges
+      UNION ALL SELECT 'fewer', count(*) - 1, max(edge_id), false FROM edges""",
     "neighbours_dependencies": f"WITH {_LINKS}, {_SEED}, {_hops(_DEP, 3)} SELECT seed, file, hop::INT AS hop FROM h3 WHERE hop > 0",
     "neighbours_both": f"WITH {_LINKS}, {_SEED}, {_hops(_BOTH, 2)} SELECT seed, file, hop::INT AS hop FROM h2 WHERE hop > 0",
     "callers": f"""WITH {_LINKS}, q AS (SELECT dst AS seed FROM l GROUP BY dst ORDER BY count(*) DESC, dst LIMIT {SEEDS}), {_hops(_CALL, 2)}
       SELECT seed, count(*) AS n_callers, min(file) AS first FROM h2 WHERE hop > 0 GROUP BY seed""",
     "pagerank": _ranks(False),
+    "pagerank_in_memory": _ranks(False),
     "personalized_pagerank": _ranks(True),
     "ghost_edges": f"""WITH cur AS (SELECT {_P.format('file')} AS f FROM manifest WHERE deleted_at IS NULL UNION SELECT {_P.format('file')} FROM shared_files WHERE deleted_at IS NULL)
       SELECT edge_type, count(*) AS kept FROM edges WHERE {_P.format('source_file')} IN (SELECT f FROM cur)
         AND (target_file IS NULL OR target_file IN ('', '_external_') OR {_P.format('target_file')} IN (SELECT f FROM cur)) GROUP BY edge_type""",
     "delete_referencing": f"""WITH {_CANON}, {_GONE} SELECT edge_type, count(*) AS kept FROM c
       WHERE NOT EXISTS (SELECT 1 FROM gone WHERE file = sf) AND NOT EXISTS (SELECT 1 FROM gone WHERE file = tf) GROUP BY edge_type""",
-    "external_symbols": f"""WITH e AS (SELECT DISTINCT {_P.format('source_file')} AS f, target_symbol AS y FROM edges WHERE source_file IS NOT NULL)
-      SELECT coalesce(CASE WHEN y IS NULL OR y = '' OR starts_with(y, '.') THEN false
+    "external_symbols": f"""WITH e AS (SELECT DISTINCT {_P.format('source_file')} AS f, target_symbol AS y, edge_type FROM edges WHERE source_file IS NOT NULL),
+      parts AS (SELECT string_split({_P.format('file')}, '/') AS p FROM (SELECT file FROM manifest UNION SELECT file FROM shared_files) WHERE file IS NOT NULL),
+      segments AS (SELECT DISTINCT unnest(p) AS g FROM parts), dotted AS (SELECT DISTINCT unnest(string_split(g, '.')) AS g FROM (SELECT unnest(p[1:len(p) - 1]) AS g FROM parts) WHERE contains(g, '.')),
+      own AS (SELECT g FROM segments WHERE g <> ''), wide AS (SELECT g FROM own UNION SELECT g FROM dotted WHERE g <> ''),
+      r AS (SELECT f, y, edge_type, coalesce(CASE WHEN y IS NULL OR y = '' OR starts_with(y, '.') THEN false
         WHEN {_suffix('f', graph._JS_SOURCES)} THEN NOT starts_with(y, '@/')
         WHEN ends_with(f, '.py') THEN (NOT contains(y, '/') AND NOT contains(y, '.')) OR split_part(y, '.', 1) IN {_std()}
         WHEN {_suffix('f', ('.cs', '.cshtml'))} THEN split_part(y, '.', 1) IN {_in(graph.CSHARP_EXTERNAL)}
         WHEN ends_with(f, '.java') THEN split_part(y, '.', 1) IN {_in(graph.JAVA_EXTERNAL)} OR array_to_string(string_split(y, '.')[1:2], '.') IN {_in(graph.JAVA_EXTERNAL)}
-        WHEN ends_with(f, '.go') THEN true END, false) AS external, count(*) AS n FROM e GROUP BY ALL""",
+        WHEN ends_with(f, '.go') THEN true END, false) AS listed FROM e)
+      SELECT listed OR coalesce(CASE WHEN ends_with(f, '.py') THEN split_part(trim(split_part(y, ' as ', 1)), '.', 1) NOT IN (SELECT g FROM own UNION ALL SELECT '')
+          WHEN edge_type = 'imports' AND {_suffix('f', ('.cs', '.cshtml'))} THEN split_part(y, '.', 1) NOT IN (SELECT g FROM wide UNION ALL SELECT '') END, false) AS external,
+        edge_type, count(*) AS n FROM r GROUP BY ALL""",
     "manifest_diff": """WITH m AS (SELECT file, min(file_hash) AS h FROM manifest GROUP BY file),
       s AS (SELECT file, CASE WHEN length(file) % 7 = 0 THEN reverse(h) ELSE h END AS h FROM m WHERE length(file) % 13 <> 0),
       o AS (SELECT file, h FROM m WHERE length(file) % 11 <> 0)
       SELECT coalesce(s.file, o.file) AS file, CASE WHEN o.h IS NULL THEN 'new' WHEN s.h IS NULL THEN 'deleted' WHEN s.h <> o.h THEN 'changed' ELSE 'unchanged' END AS state
       FROM s FULL JOIN o ON s.file = o.file""",
     "upsert_chunks": """SELECT chunk_id, row_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC, row_id DESC) AS i FROM chunks) WHERE i = 1""",
-    "delete_by_source": f"WITH {_GONE} SELECT scope, count(*) AS n FROM chunks WHERE NOT EXISTS (SELECT 1 FROM gone WHERE file = source_file) GROUP BY scope",
-    "dropped_files": f"""WITH {_GONE} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE NOT EXISTS (SELECT 1 FROM gone WHERE file = source_file)
-      UNION ALL SELECT 'edges', count(*) FROM edges WHERE NOT EXISTS (SELECT 1 FROM gone WHERE file = source_file) AND NOT EXISTS (SELECT 1 FROM gone WHERE file = target_file)
-      UNION ALL SELECT 'manifest', count(*) FROM manifest WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.file = manifest.file)""",
+    "delete_by_source": f"WITH {_GONE} SELECT scope, count(*) AS n FROM chunks WHERE source_file IS NULL OR {_P.format('source_file')} NOT IN (SELECT file FROM gone) GROUP BY scope",
+    "dropped_files": f"""WITH {_GONE} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE coalesce({_P.format('source_file')}, '') NOT IN (SELECT file FROM gone)
+      UNION ALL SELECT 'edges', count(*) FROM edges WHERE coalesce({_P.format('source_file')}, '') NOT IN (SELECT file FROM gone) AND coalesce({_P.format('target_file')}, '') NOT IN (SELECT file FROM gone)
+      UNION ALL SELECT 'manifest', count(*) FROM manifest WHERE coalesce({_P.format('file')}, '') NOT IN (SELECT file FROM gone)""",
     "registry_update": """WITH n AS (SELECT scope AS project, count(*) AS n_chunks FROM chunks GROUP BY scope),
       o AS (SELECT regexp_extract(file, '^([^/]*)', 1) AS project, count(DISTINCT file) AS n_files FROM manifest GROUP BY ALL)
       SELECT coalesce(n.project, o.project) AS project, n_files, coalesce(n_chunks, CASE WHEN o.project IS NOT NULL THEN 0 END)::BIGINT AS n_chunks FROM n FULL JOIN o ON n.project = o.project""",

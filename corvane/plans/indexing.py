@@ -23,9 +23,9 @@ class Index:
 
 
 def code_or_blocks(text: str, stem: str):
-    """Definitions where the text is Python, blocks else; the stem carries the suffix behind a NUL."""
+    """Definitions where the language is known, blocks else; the stem carries the suffix behind a NUL."""
     name, _, suffix = stem.partition("\x00")
-    return chunking.python_chunks(text, name) if suffix == "py" else chunking.fallback_chunks(text, name)
+    return chunking.python_chunks(text, name) if suffix == "py" else chunking.structure_chunks(text, name, suffix)
 
 
 def chunk_files(files: DataFrame, embedder=tx.hashed_embedding) -> DataFrame:
@@ -39,15 +39,16 @@ def chunk_files(files: DataFrame, embedder=tx.hashed_embedding) -> DataFrame:
 def resolve_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges with their target files: resolved, ``_external_`` or empty."""
     found = graph.resolve_symbols(edges, files).where("resolved IS NOT NULL")
-    joined = edges.join(found, ["target_symbol", "source_file"], "left")
-    target = F.coalesce("resolved", F.when(graph.is_external(F.col("target_symbol"), F.col("source_file")), F.lit(graph.EXTERNAL)).otherwise(F.lit("")))
+    joined = graph.with_external(edges, files).join(found, ["target_symbol", "source_file"], "left")
+    target = F.coalesce("resolved", F.when(F.col("external"), F.lit(graph.EXTERNAL)).otherwise(F.lit("")))
     return joined.withColumn("target_file", target).select(*graph.EDGE_KEY, "confidence").dropDuplicates(list(graph.EDGE_KEY))
 
 
 def index_files(scan: DataFrame, old: Index | None = None, iterations: int = 20) -> Index:
     """The index after a scan (file, content, hash): only new and changed files are read again, deleted ones go.
 
-    Unreadable files (null content) keep a manifest row and nothing else.
+    Unreadable files (null content) keep a manifest row and nothing else. Kept edges are resolved again with the new ones, as a file that came or went
+    changes what their symbols name; so an update gives what a new index would.
     """
     if old is None:
         work, kept_chunks, kept_edges = scan, None, None
@@ -60,11 +61,10 @@ def index_files(scan: DataFrame, old: Index | None = None, iterations: int = 20)
     readable = work.where("content IS NOT NULL")
     chunks, edges = chunk_files(readable), codegraph.extract_edges(readable).drop("target_file")
     files = scan.select("file")
-    edges = resolve_edges(edges, files)
     if old is not None:
         chunks = kept_chunks.unionByName(chunks)
         edges = kept_edges.select(edges.columns).unionByName(edges)
-    edges = materialize(graph.delete_ghosts(edges, files), "edges")
+    edges = materialize(graph.delete_ghosts(resolve_edges(edges, files), files), "edges")
     ranks = graph.pagerank(graph.links(edges), iterations)
     return Index(chunks, edges, ranks, scan.select("file", "hash"))
 
@@ -84,6 +84,18 @@ def ingest_documents(sources: DataFrame, known: DataFrame, pattern: str, max_tok
     )
 
 
+def update_documents(old: DataFrame, sources: DataFrame, pattern: str, max_tokens: int = 500, embedder=tx.hashed_embedding) -> DataFrame:
+    """The chunk table after an ingestion: the old chunks of a source whose content changed go before its new ones come.
+
+    ``old`` has the columns that :func:`ingest_documents` gives. Sources that aren't among ``sources``, or whose content is null, stay as they are.
+    """
+    known = materialize(old.select("source_id", "content_hash").distinct(), "known-sources")
+    hashed = sources.where("text IS NOT NULL").select("source_id", tx.short_hash("text").alias("content_hash"))
+    changed = hashed.join(known, ["source_id", "content_hash"], "left_anti").select("source_id").distinct()
+    fresh = ingest_documents(sources, known, pattern, max_tokens, embedder)
+    return old.join(changed, "source_id", "left_anti").unionByName(fresh)
+
+
 def search_topic(documents: DataFrame, topic: str, query: list[float], limit: int = 5, min_score: float = 0.3) -> DataFrame:
     """The best chunks of one topic with their citations."""
     score: Column = vectors.score_of(vectors.cosine_to(F.col("embedding"), query))

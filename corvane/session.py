@@ -7,6 +7,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +47,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a folder is made once per session; on a
-    cluster the setting is always the cluster's own.
+    Where the setting is absent a local master (tests, a laptop) gets a folder once per session; on a
+    cluster that is an error, as a folder of the driver's machine isn't shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     current = sc.getCheckpointDir()
     if current is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
@@ -72,14 +75,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     sc = spark.sparkContext
     sc._corvane_tables = [*getattr(sc, "_corvane_tables", []), path]
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._corvane_path = path
+    return table
 
 
-def drop_materialized(spark: SparkSession) -> int:
-    """Delete all tables that :func:`materialize` wrote in this session; call it once no plan reads them any more."""
+def _delete(spark: SparkSession, folders: list[str]) -> int:
     sc = spark.sparkContext
-    written, sc._corvane_tables = getattr(sc, "_corvane_tables", []), []
-    for folder in written:
+    for folder in folders:
         p = sc._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    return len(written)
+    sc._corvane_tables = [f for f in getattr(sc, "_corvane_tables", []) if f not in folders]
+    return len(folders)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the table that :func:`materialize` returned, once no plan reads it any more; any other DataFrame is left alone."""
+    if path := getattr(table, "_corvane_path", None):
+        _delete(table.sparkSession, [path])
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete all tables that :func:`materialize` wrote in this session; call it once no plan reads them any more."""
+    return _delete(spark, list(getattr(spark.sparkContext, "_corvane_tables", [])))
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """A block after which the tables written in it are deleted: results have to be written or collected within it."""
+    before = set(getattr(spark.sparkContext, "_corvane_tables", []))
+    try:
+        yield
+    finally:
+        _delete(spark, [f for f in getattr(spark.sparkContext, "_corvane_tables", []) if f not in before])

@@ -36,6 +36,28 @@ def test_update_equals_rebuild(spark, rows):
     assert {r.file: round(r.score, 9) for r in updated.ranks.collect()} == {r.file: round(r.score, 9) for r in rebuilt.ranks.collect()}
 
 
+def test_waiting_edges_resolve_when_their_file_arrives(spark):
+    first = {"p/a.py": f"from .b import x\nimport p.gone\n\ndef a():\n{BODY}\n", "p/gone.py": f"def g():\n{BODY}\n"}
+    second = {"p/a.py": first["p/a.py"], "p/b.py": f"def x():\n{BODY}\n"}
+    old = indexing.index_files(scan(spark, first), iterations=2)
+    edge = lambda i: {(r.source_file, r.target_symbol, r.target_file) for r in i.edges.collect()}
+    assert ("p/a.py", ".b", "") in edge(old) and ("p/a.py", "p.gone", "p/gone.py") in edge(old)
+    updated = indexing.index_files(scan(spark, second), old, 2)
+    assert edge(updated) == edge(indexing.index_files(scan(spark, second), iterations=2)) and ("p/a.py", ".b", "p/b.py") in edge(updated)
+
+
+def test_changed_documents_replace_their_chunks(spark):
+    text = "Sec. 1.1 Scope\nThis rule covers all of it, whatever it may be.\n" * 3
+    schema = "source_id string, topic string, prefix string, text string"
+    one = spark.createDataFrame([("a", "Law", "", text), ("b", "Law", "", text + "b"), ("n", "Law", "", None)], schema)
+    old = indexing.update_documents(indexing.ingest_documents(one.limit(0), spark.createDataFrame([], "source_id string, content_hash string"), r"Sec\.\s"), one, r"Sec\.\s")
+    two = spark.createDataFrame([("a", "Law", "", "Sec. 2.1 Other\nIt covers something else entirely now.\n"), ("b", "Law", "", text + "b")], schema)
+    new = indexing.update_documents(old, two, r"Sec\.\s")
+    assert {r.citation for r in new.where("source_id = 'a'").collect()} == {"Sec. 2.1 Other"}
+    kept = lambda df: sorted((r.chunk_id, r.content) for r in df.where("source_id = 'b'").collect())
+    assert kept(new) == kept(old) and kept(old)
+
+
 def test_documents_are_ingested_once(spark):
     text = "Preface text that is long enough to stay here.\nSec. 1.1 Scope\nThis rule covers all of it. See 45 CFR 160.103.\n" * 3
     sources = spark.createDataFrame([("a", "State Law", "Code", text), ("b", "State Law", "", "no heading here at all"), ("c", "x", "p", None)], "source_id string, topic string, prefix string, text string")

@@ -99,12 +99,53 @@ def test_python_chunks_follow_definitions():
     body = "\n".join(f"    x{i} = {i}" for i in range(20))
     text = f"import os\n\n@deco\ndef f():\n{body}\n\n\nclass C:\n    def m(self):\n    {body.replace(chr(10), chr(10) + '    ')}\n"
     got = chunking.python_chunks(text, "stem")
-    assert [c[0] for c in got] == ["f", "C"] and got[0][1].startswith("@deco")
+    assert [c[0] for c in got] == ["def f", "class C"] and got[0][1].startswith("@deco")
     small = chunking.python_chunks(text, "stem", max_tokens=60)
-    assert {"C", "C.m", "f"} == {c[0] for c in small}
+    assert {"class C", "C.m", "def f"} == {c[0] for c in small}
     assert chunking.python_chunks("def broken(:\n", "stem", 500, 1)[0][0] == "stem"
 
 
+@pytest.mark.parametrize("suffix,text,names", [
+    ("go", 'package x\n\nimport "a"\n\n// Add adds.\nfunc Add(a, b int) int {\n\treturn a + b\n}\n\ntype T struct {\n\tA int\n}\n\nfunc (t *T) F() {\n}\n', ["func Add", "type T", "func (t *T) F"]),
+    ("ts", "import {a} from 'b';\n\n/** doc */\nexport class Foo extends Bar {\n  load(a: string): Row {\n    return 1;\n  }\n}\n\nexport const f = async (a) => {\n  return a;\n};\n", ["export class Foo", "export const f"]),
+    ("rs", "use a;\n\n#[test]\npub fn f(a: u8) -> u8 {\n    a\n}\n\nimpl T for A {\n    fn g() {}\n}\n", ["pub fn f", "impl T for A"]),
+    ("java", "package a;\n\n@X\npublic class A {\n    int f() {\n        return 1;\n    }\n}\n", ["public class A"]),
+    ("kt", "fun f(a: Int): Int {\n    return a\n}\n\nobject B {\n    fun g() {}\n}\n", ["fun f", "object B"]),
+    ("rb", "class A\n  def f(a)\n    1\n  end\nend\n\ndef g\n  2\nend\n", ["class A", "def g"]),
+    ("lua", "local function f(a)\n  return a\nend\n\nM.g = function(a)\n  return a\nend\n", ["local function f", "M.g"]),
+    ("sh", "f() {\n  echo a\n}\n\nfunction g {\n  echo b\n}\n", ["f", "function g"]),
+    ("c", "#include <a>\n\n// doc\nint f(int a)\n{\n    return 1;\n}\n\nstruct s {\n    int a;\n};\n", ["int f", "struct s"]),
+])
+def test_structure_chunks_follow_definitions(suffix, text, names):
+    got = chunking.structure_chunks(text, "stem", suffix)
+    assert [c[0] for c in got] == names
+    lines = text.split("\n")
+    assert all(c[1] == "\n".join(lines[c[2] - 1 : c[3]]) for c in got)
+
+
+def test_large_classes_are_cut_at_their_methods():
+    text = "/** d */\npublic class A {\n    @Get\n    public int f(int a) {\n        return 1;\n    }\n\n    int g() {\n        return 2;\n    }\n}\n"
+    got = chunking.structure_chunks(text, "x", "java", 20, 5)
+    assert [c[0] for c in got] == ["public class A", "A.f", "A.g"] and got[1][1].startswith("    @Get")
+    assert chunking.structure_chunks("just text\n" * 30, "stem", "java", 500, 5)[0][0] == "stem" and chunking.structure_chunks("x", "s", "zzz", 500, 0)[0][0] == "s"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=20), st.integers(1, 40), st.integers(0, 20))
+def test_packed_ranges_cover_and_fit(sizes, limit, overlap):
+    at = 0
+    for i, j in chunking.packed_ranges(sizes, limit, overlap):
+        assert i in (at, at - 1) and j > at and (i == at or sizes[i] // 4 <= overlap)
+        if j - i > 1 + (i < at):  # what was added to more than one paragraph was within the limit
+            assert sum(sizes[i : j - 1]) // 4 + sizes[j - 1] // 4 <= limit
+        at = j
+    assert at == len(sizes)
+
+
+def test_heading_pattern_is_checked(spark):
+    assert one(spark, chunking.heading_matches("t", r"Sec\.\s"), t="x\nSec. 1") and not one(spark, chunking.heading_matches("t", "Sec"), t="x Sec")
+
+
 def test_chunk_texts_skips_nulls_and_blanks(spark):
     df = spark.createDataFrame([(1, None), (2, "  "), (3, "hello world, " * 10)], "id long, t string")
     got = chunking.chunk_texts(df, "id", "t", lambda t, s: chunking.fallback_chunks(t, s, 500, 1)).collect()
@@ -190,16 +231,22 @@ def test_frontier_is_pruned_by_centrality(spark):
     assert {r.file for r in got} == {"d", "b"}
 
 
-@pytest.mark.parametrize("small", [1_000_000, -1])
-def test_pagerank_sums_to_one(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL_GRAPH_LINKS", small)
+@pytest.mark.parametrize("small", [True, False])
+def test_pagerank_sums_to_one(spark, small):
     links = link(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("a", "e")])
-    got = {r.file: r.score for r in graph.pagerank(links, 40, tolerance=1e-6).collect()}
+    got = {r.file: r.score for r in graph.pagerank(links, 40, tolerance=1e-6, in_memory=small).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and max(got, key=got.get) == "a"
-    seeded = {r.file: r.score for r in graph.pagerank(links, 20, seeds=spark.createDataFrame([("c",), ("zzz",)], "file string")).collect()}
+    seeded = {r.file: r.score for r in graph.pagerank(links, 20, seeds=spark.createDataFrame([("c",), ("zzz",)], "file string"), in_memory=small).collect()}
     assert abs(sum(seeded.values()) - 1) < 1e-9 and seeded["d"] == 0.0
-    assert graph.pagerank(links, 3, seeds=spark.createDataFrame([("zzz",)], "file string")).count() == 0
-    assert graph.pagerank(links.limit(0), 3).count() == 0
+    assert graph.pagerank(links, 3, seeds=spark.createDataFrame([("zzz",)], "file string"), in_memory=small).count() == 0
+    assert graph.pagerank(links.limit(0), 3, in_memory=small).count() == 0
+
+
+def test_both_pageranks_stop_alike(spark):
+    links = link(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("a", "e"), ("f", "d")])
+    for seeds in (None, spark.createDataFrame([("d",)], "file string")):
+        got = [{r.file: round(r.score, 12) for r in graph.pagerank(links, 60, seeds=seeds, tolerance=1e-3, check_every=4, in_memory=m).collect()} for m in (True, False)]
+        assert got[0] == got[1] and len(got[0]) == 6
 
 
 @pytest.mark.parametrize("name", ["pagerank", "personalized_pagerank"])
@@ -244,6 +291,34 @@ def test_external_symbols(spark):
     assert is_ext("System.Text", "a.cs") and not is_ext("Own.Api", "a.cs") and is_ext("org.junit.Test", "A.java") and not is_ext("fooBar", "a.rs")
 
 
+def test_namespaces_tell_libraries_from_own_modules(spark):
+    files = spark.createDataFrame([("pkg/own/mod.py",), ("Acme.Api\\Orders.cs",), ("protos/google.api/x.py",), (None,)], "file string")
+    rows = [
+        ("requests.adapters", "a.py", "calls", True), ("own.mod", "a.py", "imports", False), ("google.cloud", "a.py", "imports", True), (".x", "a.py", "imports", False), ("np.z as q", "a.py", "imports", True),
+        ("Acme.Widgets", "a.cs", "imports", False), ("Other.Widgets", "a.cs", "imports", True), ("Other.Widgets", "a.cs", "calls", False), ("google.x", "a.cs", "imports", False),
+        ("react", "a.ts", "imports", True), (None, "a.py", "imports", False), ("", "a.cs", "imports", False), ("x", None, "imports", False),
+    ]
+    df = spark.createDataFrame(rows, "target_symbol string, source_file string, edge_type string, want boolean")
+    assert [tuple(r) for r in graph.with_external(df, files).where("external <> want OR external IS NULL").collect()] == []
+
+
+def test_files_are_gone_when_all_their_lives_have_ended(spark):
+    manifest = spark.createDataFrame([("p/a.py", "x"), ("p/a.py", None), ("./p/b.py", "x"), ("p\\b.py", "y"), ("p/c.py", None), (None, "x")], "file string, deleted_at string")
+    gone = index.ended_files(manifest)
+    assert [r.file for r in gone.collect()] == ["p/b.py"]
+    chunks = spark.createDataFrame([("./p/a.py",), ("p\\b.py",), ("p/c.py",), (None,)], "source_file string")
+    assert {r.source_file for r in index.delete_files(chunks, gone).collect()} == {"./p/a.py", "p/c.py", None}
+    edges = spark.createDataFrame([("p/a.py", ".\\p\\b.py"), ("./p/b.py", "p/a.py"), ("p/a.py", ""), ("p/a.py", None)], "source_file string, target_file string")
+    c, e, m = index.drop_files(gone, chunks, edges, manifest)
+    assert (c.count(), sorted(r.target_file or "-" for r in e.collect()), m.count()) == (3, ["-", "-"], 4)
+
+
+def test_sweep_actions(spark):
+    changes = spark.createDataFrame([(p, f"f{i}", s) for p, n, s in (("a", 50, "new"), ("b", 49, "changed"), ("c", 60, "deleted"), ("d", 90, "unchanged")) for i in range(n)], "project string, file string, state string")
+    projects = spark.createDataFrame([("a", False), ("b", True), ("c", True), ("d", None), ("e", None)], "project string, incomplete boolean")
+    assert {r.project: (r.n_changed, r.action) for r in index.sweep_actions(changes, projects).collect()} == {"a": (50, "full"), "b": (49, "files"), "c": (60, "resume"), "d": (0, "none"), "e": (0, "none")}
+
+
 def test_edge_maintenance(spark):
     e = spark.createDataFrame([("a", "b"), ("b", ""), ("c", "_external_"), ("c", "gone"), ("gone", "a")], "source_file string, target_file string")
     left = lambda df: sorted((r.source_file, r.target_file) for r in df.collect())
