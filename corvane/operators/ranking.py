@@ -89,9 +89,9 @@ def structural_score(seed_score: Column, edge_type: Column, depth: Column) -> Co
     return F.round(seed_score * edge_weight(edge_type) * F.pow(F.lit(DEPTH_DECAY), depth - 1), 4)
 
 
-def final_order(df: DataFrame, id_col: str) -> DataFrame:
-    """Fused results first, by fused and then by raw score."""
-    return df.orderBy(F.col("rrf_score").isNotNull().desc(), F.desc_nulls_last("rrf_score"), F.desc("score"), id_col)
+def final_order() -> list[Column]:
+    """The order of results of several sources: fused ones first, by fused and then by raw score. Null scores come last."""
+    return [F.desc_nulls_last("rrf_score"), F.desc_nulls_last("score")]
 
 
 # Words in paths and contents that move a result, and by how much.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import analytics_queries, graph_queries, problem_queries, retrieval_queries, text_queries
+from corvane.plans import analytics_queries, graph_queries, problem_queries, retrieval_queries, source_queries, text_queries
 
-MODULES = [problem_queries, retrieval_queries, graph_queries, analytics_queries, text_queries]
+MODULES = [problem_queries, retrieval_queries, graph_queries, analytics_queries, text_queries, source_queries]
 
 
 def queries() -> dict:

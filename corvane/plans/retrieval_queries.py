@@ -122,19 +122,28 @@ def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(c, _chunk_query(c), WORDS, "vector").select("chunk_id", "source_file", "score")
 
 
+def _graph(spark: SparkSession, sf: str) -> search.GraphIndex:
+    """The graph tables of the dataset, made at the first search of the session as an index run would."""
+    sc = spark.sparkContext
+    made = getattr(sc, "_corvane_graphs", {})
+    if sf not in made or made[sf].links._corvane_path not in sc._corvane_tables:
+        sc._corvane_graphs = made | {sf: search.graph_index(table(spark, sf, "edges"))}
+    return sc._corvane_graphs[sf]
+
+
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks")
-    return search.search(c, _chunk_query(c), WORDS, "both", table(spark, sf, "edges"))
+    return search.search(c, _chunk_query(c), WORDS, "both", _graph(spark, sf))
 
 
 def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks")
-    return search.search(c, _chunk_query(c), WORDS, "graph", table(spark, sf, "edges"))
+    return search.search(c, _chunk_query(c), WORDS, "graph", _graph(spark, sf))
 
 
 def search_context(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks")
-    return search.assemble_context(search.vector_leg(search.usable_chunks(c), _chunk_query(c), 10))
+    return search.assemble_context(search.vector_leg(c, _chunk_query(c), 10))
 
 
 QUERIES = {

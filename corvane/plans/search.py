@@ -5,11 +5,17 @@ A search is one lazily built plan over small candidate lists; only graph travers
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.paths import canonical_path
 from corvane.operators import graph, ranking, vectors
-from corvane.session import materialize
+from corvane.plans.indexing import search_topic
+from corvane.session import discard, materialize
 
 MODES = ("vector", "graph", "both")
 
@@ -24,11 +30,25 @@ def usable_chunks(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
     return ok.join(latest, "row_id", "left_semi")
 
 
-def vector_leg(chunks: DataFrame, query: list[float], limit: int, min_score: float = 0.5) -> DataFrame:
-    """Best chunks for a query vector: the fields of a hit, score and rank."""
+HIT = ("chunk_id", "source_file", "section", "line_start", "line_end", "content")
+
+
+def best_rows(chunks: DataFrame, query: list[float], limit: int, min_score: float) -> DataFrame:
+    """row_id, chunk_id, source_file and score of the best chunks for a query vector, of each id its latest row.
+
+    Scores are computed in the scan; the rows of an id meet as small ones of id, time, path and score, and contents aren't read.
+    """
+    ok = chunks.where(F.size("embedding") == len(query))
     s = vectors.score_of(vectors.cosine_to(F.col("embedding"), query))
-    hits = chunks.select("chunk_id", "source_file", "section", "line_start", "line_end", "content", s.alias("s")).where(F.col("s") >= min_score)
-    top = hits.withColumn("score", F.round("s", 4)).drop("s").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    latest = ok.groupBy("chunk_id").agg(F.max(F.struct("indexed_at", "row_id", s.alias("s"), "source_file")).alias("l"))
+    good = latest.where((F.col("l.s") >= min_score) & ~F.isnan("l.s"))
+    return good.select("l.row_id", "chunk_id", "l.source_file", F.round("l.s", 4).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def vector_leg(chunks: DataFrame, query: list[float], limit: int, min_score: float = 0.5) -> DataFrame:
+    """Best chunks for a query vector: the fields of a hit, score and rank. The contents of the few best rows are fetched last."""
+    best = best_rows(chunks, query, limit, min_score).select("row_id", "score")
+    top = chunks.select("row_id", *HIT).join(F.broadcast(best), "row_id").drop("row_id")  # at most ``limit`` rows
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("bigint"))
 
 
@@ -39,19 +59,41 @@ def keyword_leg(candidates: DataFrame, query: str, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("bigint"))
 
 
-def graph_leg(chunks: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, direction: str, limit: int) -> DataFrame:
+@dataclass
+class GraphIndex:
+    """What searches read of the graph, made once with the index: links of files, the strongest relation of each, and PageRank."""
+
+    links: DataFrame
+    kinds: DataFrame
+    ranks: DataFrame
+
+
+def graph_index(edges: DataFrame, iterations: int = 20) -> GraphIndex:
+    """The graph tables of an edge table, written to the shared folder. A run of :func:`index_files` has the ranks already."""
+    canonical = materialize(graph.canonical_edges(edges), "canonical-edges")
+    links = materialize(graph.links(canonical), "links")
+    weight = ranking.edge_weight("edge_type")
+    real = canonical.where(~F.col("source_file").isin("", graph.EXTERNAL) & ~F.col("target_file").isin("", graph.EXTERNAL))
+    kinds = real.groupBy(F.col("source_file").alias("a"), F.col("target_file").alias("b")).agg(F.max_by("edge_type", F.struct(weight, F.col("edge_type"))).alias("edge_type"))
+    kinds = materialize(kinds, "relations")
+    discard(canonical)
+    return GraphIndex(links, kinds, graph.pagerank(links, iterations))
+
+
+#: Files that a hop goes on from, for each seed: the most central ones.
+MAX_NODES = 200
+
+
+def graph_leg(chunks: DataFrame, index: GraphIndex, seeds: DataFrame, depth: int, direction: str, limit: int, max_nodes: int = MAX_NODES) -> DataFrame:
     """First chunks of the files around the seeds, by structure fused with centrality.
 
-    ``seeds``: source_file, score. The score of a neighbour stays the pure structural number; centrality only moves the order.
+    ``seeds``: source_file, score; a few. A hop keeps the ``max_nodes`` most central new files of a seed, so everything after it is small. The score of a
+    neighbour stays the pure structural number; centrality only moves the order. It is the PageRank with restarts at the seeds, taken within the neighbourhood.
     """
-    ed = graph.canonical_edges(edges)
-    link = graph.links(ed)
-    link = materialize(link, "links")
     per_file = materialize(seeds.groupBy(F.col("source_file").alias("seed")).agg(F.max("score").alias("seed_score")), "seeds")
-    near = graph.neighbours(link, per_file.select("seed"), depth, direction)
-    kinds = ed.groupBy(F.col("source_file").alias("a"), F.col("target_file").alias("b")).agg(F.max(ranking.edge_weight("edge_type")).alias("w"), F.max_by("edge_type", ranking.edge_weight("edge_type")).alias("edge_type"))
-    forward = near.join(kinds, (F.col("seed") == F.col("a")) & (F.col("file") == F.col("b")), "left").select("seed", "file", "hop", F.col("edge_type").alias("e1"))
-    both = forward.join(kinds, (F.col("file") == F.col("a")) & (F.col("seed") == F.col("b")), "left").select(
+    near = graph.neighbours(index.links, per_file.select("seed"), depth, direction, max_nodes, index.ranks)
+    forward = near.join(index.kinds, (F.col("seed") == F.col("a")) & (F.col("file") == F.col("b")), "left").select("seed", "file", "hop", F.col("edge_type").alias("e1"))
+    both = forward.join(index.kinds, (F.col("file") == F.col("a")) & (F.col("seed") == F.col("b")), "left").select(
         "seed", "file", "hop", F.coalesce("e1", "edge_type").alias("relation"), (F.col("e1").isNull() & F.col("edge_type").isNotNull()).alias("is_caller")
     )
     scored = both.join(per_file, "seed").withColumn("score", ranking.structural_score(F.col("seed_score"), F.col("relation"), F.col("hop")))
@@ -59,34 +101,45 @@ def graph_leg(chunks: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int,
         F.max_by(F.struct("seed", "relation", "is_caller", "hop", "score"), F.struct("score", F.col("seed"))).alias("r")
     )
     best = materialize(best.select("file", "r.*"), "around")
+    # at most max_nodes files for each hop and seed, and the links among them
+    files = F.broadcast(materialize(best.select("file").union(per_file.select("seed")).distinct(), "neighbourhood"))
+    inner = index.links.join(files.select(F.col("file").alias("src")), "src", "left_semi").join(files.select(F.col("file").alias("dst")), "dst", "left_semi")
+    central = graph.pagerank(inner.select("src", "dst"), seeds=per_file.select(F.col("seed").alias("file")), in_memory=True).select("file", F.round("score", 9).alias("pr"))
     rank = lambda c: F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "file"))
-    central = graph.pagerank(link, 10, seeds=per_file.select(F.col("seed").alias("file"))).select("file", F.round("score", 9).alias("pr"))
     ordered = best.join(central, "file", "left").withColumn("a", rank("score")).withColumn("b", rank("pr"))
     fused = F.round(1.0 / (ranking.RRF_K + F.col("a")) + ranking.CENTRALITY_WEIGHT / (ranking.RRF_K + F.col("b")), 6)
-    kept = ordered.withColumn("fused", fused).orderBy(F.desc("fused"), "file").limit(max(3 * limit, 15))
-    first = vectors.first_chunk_per_source(chunks).select(F.col("source_file").alias("file"), "chunk_id", "section", "line_start", "line_end", "content")
-    return kept.join(first, "file").select("chunk_id", F.col("file").alias("source_file"), "section", "line_start", "line_end", "content", "score", "relation", "seed", "is_caller", "hop", "fused")
-
-
-def search(chunks: DataFrame, query_vector: list[float], query: str, mode: str = "both", edges: DataFrame | None = None, limit: int = 10, min_score: float = 0.5, depth: int = 1, direction: str = "both") -> DataFrame:
-    """Results of a search: chunk_id, source_file, score, rrf_score, search_mode, at most ``limit`` of them.
-
-    Bad arguments are refused before anything runs.
+    kept = materialize(ordered.withColumn("fused", fused).orderBy(F.desc("fused"), "file").limit(max(3 * limit, 15)), "kept")
+    # of the few files kept the first chunk, found without contents, which are fetched last
+    usable = chunks.where(F.size("embedding").isNotNull()).join(F.broadcast(kept.select("file")), canonical_path("source_file") == F.col("file"))
+    latest = usable.groupBy("file", "chunk_id").agg(F.max(F.struct("indexed_at", "row_id", "chunk_index")).alias("l"))
+    first = latest.groupBy("file").agg(F.min(F.struct("l.chunk_index", "chunk_id", "l.row_id")).alias("f"))
+    rows = materialize(kept.join(first.select("file", "f.row_id"), "file"), "first-chunks")
+    got = chunks.select("row_id", *HIT).join(F.broadcast(rows), "row_id")
+    return got.select("chunk_id", F.col("file").alias("source_file"), "section", "line_start", "line_end", "content", "score", "relation", "seed", "is_caller", "hop", "fused")
+
+
+def search(
+    chunks: DataFrame, query_vector: list[float], query: str, mode: str = "both", edges: DataFrame | GraphIndex | None = None, limit: int = 10, min_score: float = 0.5, depth: int = 1, direction: str = "both"
+) -> DataFrame:
+    """Results of a search: chunk_id, source_file, score, rrf_score, search_mode, in order, at most ``limit`` of them.
+
+    ``edges`` is the :class:`GraphIndex` that was made with the index, or an edge table, from which it is made first. Bad arguments are refused before anything runs.
     """
     if mode not in MODES or (mode != "vector" and edges is None):
         raise ValueError(f"mode is one of {', '.join(MODES)}, and the graph needs edges")
     if not 1 <= depth <= 5 or direction not in ("both", "callers", "dependencies"):
         raise ValueError("depth is 1 to 5; direction is both, callers or dependencies")
-    usable = usable_chunks(chunks)
-    near = vector_leg(usable, query_vector, limit, min_score)
     if mode == "vector":
+        near = best_rows(chunks, query_vector, limit, min_score)
         return near.select("chunk_id", "source_file", "score", F.lit(None).cast("double").alias("rrf_score"), F.lit("vector").alias("search_mode"))
-    near = materialize(near, "hits")
-    around = graph_leg(usable, edges, vector_leg(usable, query_vector, 3, 0.1), depth, direction, limit)
+    index = edges if isinstance(edges, GraphIndex) else graph_index(edges)
+    seeds = best_rows(chunks, query_vector, 3, 0.1).select(canonical_path("source_file").alias("source_file"), "score")
+    around = graph_leg(chunks, index, seeds, depth, direction, limit)
     hits = ["chunk_id", "source_file", "content", "score"]
     if mode == "graph":
         top = around.orderBy(F.desc("fused"), "chunk_id").limit(limit)
         return top.select("chunk_id", "source_file", "score", F.col("fused").alias("rrf_score"), F.lit("graph").alias("search_mode"))
+    near = materialize(vector_leg(chunks, query_vector, limit, min_score), "hits")
     around = materialize(around, "graph-hits")
     graph_list = around.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "chunk_id")).cast("bigint"))
     pool = materialize(near.select(hits).unionByName(graph_list.select(hits)).dropDuplicates(["chunk_id"]), "pool")
@@ -99,6 +152,62 @@ def search(chunks: DataFrame, query_vector: list[float], query: str, mode: str =
     return out.orderBy("fused_rank").limit(limit).select("chunk_id", "source_file", "score", "rrf_score", "search_mode")
 
 
+@dataclass
+class Sources:
+    """What a search over several sources reads. ``chunks`` and the graph are those of all projects, told apart by ``project_column``."""
+
+    chunks: DataFrame
+    projects: DataFrame
+    documents: DataFrame | None = None
+    edges: DataFrame | GraphIndex | None = None
+    project_column: str = "scope"
+
+
+def search_sources(
+    sources: list[str], tables: Sources, query: str, embedder_for: Callable[[str], Callable[[str], list[float]]], default_model: str, mode: str = "vector", limit: int = 10, min_score: float = 0.5, **graph_options
+) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Search several sources at once: the results in order, at most ``limit`` of them, and the sources that were left out with the reason.
+
+    A source is ``project:NAME`` or ``docs:TOPIC``; others are ``unknown``. A project is queried with the model that its index records (``projects``:
+    project, model_id, n_files, incomplete), the default one where that can't be loaded; then, like a missing index, it is left out, as vectors of two models don't compare. Lists with a fused
+    score come before those without, then the score decides; the scores of different sources are not mixed with fused ones. No usable source gives None. Result: source, chunk_id, source_file, score, rrf_score, search_mode.
+    """
+    named = [s[len("project:") :] for s in sources if s.startswith("project:")]
+    known = {r.project: r for r in tables.projects.where(F.col("project").isin(named)).collect()} if named else {}  # at most one row for each source
+    lists, skipped = [], []
+    for source in dict.fromkeys(sources):
+        kind, _, name = source.partition(":")
+        if kind == "docs" and tables.documents is not None:
+            found = search_topic(tables.documents, name, embedder_for(default_model)(query), limit, min_score)
+            lists.append(found.select(F.lit(source).alias("source"), "chunk_id", F.col("citation").alias("source_file"), "score", F.lit(None).cast("double").alias("rrf_score"), F.lit("docs").alias("search_mode")))
+            continue
+        if kind != "project" or not name:
+            skipped.append((source, "unknown"))
+            continue
+        record = known.get(name)
+        model, reason = default_model, None
+        if record is None or not record.n_files:
+            reason = "missing"
+        elif record.model_id is None:
+            reason = "unknown model"
+        elif record.model_id != default_model:
+            try:
+                embedder_for(record.model_id)
+                model = record.model_id
+            except Exception:
+                reason = "other model"
+        if reason:
+            skipped.append((source, reason))
+            continue
+        own = tables.chunks.where(F.col(tables.project_column) == name)
+        found = search(own, embedder_for(model)(query), query, mode, tables.edges, limit, min_score, **graph_options)
+        lists.append(found.select(F.lit(source).alias("source"), "chunk_id", "source_file", "score", "rrf_score", "search_mode"))
+    if not lists:
+        return None, skipped
+    every = functools.reduce(DataFrame.unionByName, lists)
+    return every.orderBy(*ranking.final_order(), "source", "chunk_id").limit(limit), skipped
+
+
 def assemble_context(hits: DataFrame, top: int = 3, least: float = 0.4, width: int = 200) -> DataFrame:
     """One text of the best hits' first characters, in order: what is handed to a reader."""
     good = hits.where(F.col("score") >= least).orderBy(F.desc("score"), "chunk_id").limit(top)

@@ -9,6 +9,7 @@ from corvane.functions import text as tx
 from corvane.functions.paths import canonical_path, extension, parent_dir
 from corvane.operators import analytics, chunking, codegraph, graph, prose
 from corvane.plans.retrieval_queries import tokens_sql
+from corvane.plans.indexing import code_or_blocks
 from corvane.session import table
 from corvane.sources import markup, scan
 
@@ -100,9 +101,9 @@ def document_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def code_chunks(s: SparkSession, d: str) -> DataFrame:
-    how = lambda t, stem: chunking.python_chunks(t, stem) if stem.endswith("\x00py") else chunking.fallback_chunks(t, stem)
-    named = _docs(s, d).where("kind = 'code'").withColumn("name", F.when(extension("path") == ".py", F.concat("path", F.lit("\x00py."))).otherwise(F.col("path")))
-    return chunking.chunk_texts(named, "doc_id", "text", how, name="name")
+    suffix = F.coalesce(F.regexp_extract(F.lower("path"), r"\.([^./]+)$", 1), F.lit(""))
+    named = _docs(s, d).where("kind = 'code'").withColumn("name", F.concat(F.regexp_replace(F.coalesce("path", F.lit("")), r"\.[^./]*$", ""), F.lit("\x00"), suffix, F.lit(".")))
+    return chunking.chunk_texts(named, "doc_id", "text", code_or_blocks, name="name")
 
 
 def chunk_metadata(s: SparkSession, d: str) -> DataFrame:

@@ -60,11 +60,19 @@ def session_counts(events: DataFrame, user: str, ts: str, gap: str = "30 minutes
     return timed.groupBy(user, F.session_window("__ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events")).select(user, F.col("w.start").alias("start"), "n_events")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregation over what is there and return its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Run a streaming aggregation over what is there and return its result table.
+
+    Every batch gives the whole result, which replaces the one before in a folder beside the checkpoint; nothing of it is held by the driver.
+    """
+    result = f"{checkpoint}-{name}"
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(result)
+
+    query = stream.writeStream.outputMode("complete").queryName(name).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(result)
 
 
 def tail_logs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
