@@ -62,6 +62,15 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
 
 
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours of the stated query set: chunk ids with a row whose row_id is divisible by 50."""
+    return neighbours.exact_neighbours(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", "row_id % 50 = 0")
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.recall(table(spark, sf_dir, "chunks"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -106,6 +115,8 @@ QUERIES = {
     "p4_labels": p4_labels,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_exact": p5_exact,
+    "p5_recall": p5_recall,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_ids": p7_ids,
@@ -119,6 +130,10 @@ QUERIES = {
 }
 
 SQL = {
+    "p5_exact": """WITH ok AS (SELECT chunk_id, min(embedding::DOUBLE[]) AS e, bool_or(row_id % 50 = 0) AS asked FROM chunks
+          WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id)
+        SELECT a.chunk_id, b.chunk_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM ok a JOIN ok b ON a.chunk_id <> b.chunk_id WHERE a.asked
+        QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY cosine DESC, b.chunk_id) <= 5""",
     "p3_found": """
         SELECT 'raw_chunks' AS origin, raw_id AS rec_id FROM raw_chunks
         WHERE length(content) // 4 > (SELECT capacity FROM limits WHERE limit_name = 'raw_chunks')

@@ -52,6 +52,36 @@ def test_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_exact_neighbours_and_recall(spark, monkeypatch):
+    monkeypatch.setattr(nb, "EXACT_QUERIES", 30)
+    monkeypatch.setattr(nb, "EXACT_VECTORS", 70)
+    rows = data(300, 8)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", row_id long")
+    want = brute(rows, 5, 8)
+    for condition, asked in (("true", set(want)), ("row_id % 50 = 0", {r[0] for i, r in enumerate(rows) if i % 50 == 0} & set(want))):
+        got = {}
+        for r in nb.exact_neighbours(df, "chunk_id", "embedding", condition, dimensions=8).collect():
+            got.setdefault(r.chunk_id, []).append((-r.cosine, r.neighbour))
+        assert {c: [n for _, n in sorted(v)] for c, v in got.items()} == {c: n for c, n in want.items() if c in asked}
+    r = nb.recall(df, dimensions=8).first()
+    assert (r.n_queries, r.n_true) == (len(asked), 5 * len(asked)) and r.recall >= 0.9
+    assert nb.exact_neighbours(df.limit(0), "chunk_id", "embedding", "true", dimensions=8).count() == 0
+
+
+def test_two_levels_of_pivots_find_nearly_the_nearest():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    make = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(centres[rng.integers(0, 40, n)] + 0.6 * rng.normal(size=(n, 16)))
+    pivots, v = nb.Pivots.of(make(900)), make(500)
+    exact, near = nb.pivot_orders(v, pivots, 8), nb.pivot_orders(v, pivots, 8, exact=0, probes=10)
+    assert sum(len(set(a[:4]) & set(b[:4])) for a, b in zip(exact, near)) >= 0.95 * 4 * len(v)
+    assert (nb.pivot_orders(v, pivots, 8, exact=0, probes=10_000) == exact).all()
+    sizes = np.full(900, 10)
+    sizes[7] = 5000
+    cells = nb.cells_of(pivots, sizes, 2000)
+    assert (cells == cells[7]).sum() == 1 and len(cells) == 900 and np.bincount(cells).max() <= 2 * nb.CELL_PIVOTS
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], "", 0), ("b", [0.0, 1.0], "", 0)], SCHEMA)
     assert [tuple(r) for r in nb.neighbour_pairs(df, dimensions=2).collect()] == [("a", "b")]
@@ -98,8 +128,8 @@ def test_ties_at_the_last_rank_are_all_compared():
     rng = np.random.default_rng(6)
     n, dim = 400, 8
     v = [(np.ones(dim) * s).astype(np.float32).tolist() for s in rng.uniform(0.5, 2, n)]
-    columns = {"rep": [f"m{i:03d}" for i in range(n)], "e": pa.array(v, pa.list_(pa.float32())), "pivots": pa.array([[0, 1, 2]] * n, pa.list_(pa.int16()))}
-    t = pa.table(columns | {"is_query": [True] * n, "is_member": [True] * n})
+    columns = {"rep": [f"m{i:03d}" for i in range(n)], "e": pa.array(v, pa.list_(pa.float32())), "pivots": pa.array([[0, 1, 2]] * n, pa.list_(pa.int32()))}
+    t = pa.table(columns | {"is_query": [True] * n, "is_member": [True] * n, "files": pa.array([[0, 1]] * n, pa.list_(pa.int32()))})
     found = {}
     for r in nb._block(t, 5, dim, 150).to_pylist():
         found.setdefault(r["q"], set()).add(r["m"])
