@@ -31,9 +31,9 @@ DIMENSIONS = 64
 #: Vectors for each pivot, and the bounds of the number of pivots; the largest sample has MAX_PIVOTS vectors (64 MB).
 VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 50, 16, 262_144
 #: Pivots in a vector's order, pivots under which it is posted, best ranked candidates of a file that are compared again.
-ORDER, POSTINGS, RERANK = 16, 4, 100
+ORDER, POSTINGS, RERANK = 16, 4, 150
 #: Pivots up to which all are compared with each vector, and groups of pivots that are looked into beyond that.
-EXACT_PIVOTS, PROBES = 4_096, 24
+EXACT_PIVOTS, PROBES = 8_192, 64
 TILE = 2_000
 #: Pivots of a cell, at most about this many, and the postings that they may have together.
 CELL_PIVOTS, CELL_POSTINGS = 8, 4_000
@@ -64,14 +64,16 @@ class Pivots:
     vectors: np.ndarray
     leaders: np.ndarray
     groups: list[np.ndarray]
+    exact: int = EXACT_PIVOTS
+    probes: int = PROBES
 
     @classmethod
-    def of(cls, vectors: np.ndarray) -> Pivots:
+    def of(cls, vectors: np.ndarray, exact: int = EXACT_PIVOTS, probes: int = PROBES) -> Pivots:
         v = vectors.astype(np.float32)
         leaders = v[: max(1, round(len(v) ** 0.5))]  # the sample is in the order of a hash
         nearest = np.concatenate([(v[i : i + 8192] @ leaders.T).argmax(axis=1) for i in range(0, len(v), 8192)])
         groups = [np.flatnonzero(nearest == g) for g in range(len(leaders))]
-        return cls(v, leaders, groups)
+        return cls(v, leaders, groups, exact, probes)
 
 
 def _best(similarity: np.ndarray, length: int) -> np.ndarray:
@@ -84,17 +86,17 @@ def _best(similarity: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(top, np.lexsort((top, -values), axis=1), axis=1)
 
 
-def pivot_orders(vectors: np.ndarray, pivots: Pivots, length: int, exact: int = EXACT_PIVOTS, probes: int = PROBES) -> np.ndarray:
-    """The numbers of the ``length`` nearest pivots of each vector, nearest first; beyond ``exact`` pivots nearly so."""
+def pivot_orders(vectors: np.ndarray, pivots: Pivots, length: int) -> np.ndarray:
+    """The numbers of the ``length`` nearest pivots of each vector, nearest first; beyond ``pivots.exact`` pivots nearly so."""
     p = pivots.vectors
     length = min(length, len(p))
     out = np.empty((len(vectors), length), dtype=np.int32)
-    if len(p) <= exact:
+    if len(p) <= pivots.exact:
         step = max(64, (1 << 22) // len(p))  # so that the similarities at hand stay at 16 MB
         for a in range(0, len(vectors), step):
             out[a : a + step] = _best(vectors[a : a + step].astype(np.float32) @ p.T, length)
         return out
-    probes = min(probes, len(pivots.leaders))
+    probes = min(pivots.probes, len(pivots.leaders))
     for a in range(0, len(vectors), 4096):
         v = vectors[a : a + 4096].astype(np.float32)
         near = _best(v @ pivots.leaders.T, probes)
@@ -222,6 +224,8 @@ def nearest(
     postings: int = POSTINGS,
     rerank: int = RERANK,
     tile: int = TILE,
+    exact_pivots: int = EXACT_PIVOTS,
+    probes: int = PROBES,
 ) -> DataFrame:
     """``id_col``, ``neighbour``, ``cosine`` (rounded to 6 decimals): the k most similar others of every id, nearly always.
 
@@ -246,7 +250,7 @@ def nearest(
     n = groups.count()
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, n // vectors_per_pivot), max(n, 1))
     sample = groups.select("e", F.xxhash64("rep").alias("x"), "rep").orderBy("x", "rep").limit(wanted).select("e").toArrow()
-    pivots = Pivots.of(_matrix(sample.column("e"), dimensions) if sample.num_rows else np.zeros((1, dimensions)))
+    pivots = Pivots.of(_matrix(sample.column("e"), dimensions) if sample.num_rows else np.zeros((1, dimensions)), exact_pivots, probes)
     shared = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS rows
 
     def count(batches):

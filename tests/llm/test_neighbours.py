@@ -73,9 +73,10 @@ def test_two_levels_of_pivots_find_nearly_the_nearest():
     centres = rng.normal(size=(40, 16))
     make = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(centres[rng.integers(0, 40, n)] + 0.6 * rng.normal(size=(n, 16)))
     pivots, v = nb.Pivots.of(make(900)), make(500)
-    exact, near = nb.pivot_orders(v, pivots, 8), nb.pivot_orders(v, pivots, 8, exact=0, probes=10)
+    two = lambda probes: nb.Pivots(pivots.vectors, pivots.leaders, pivots.groups, 0, probes)
+    exact, near = nb.pivot_orders(v, pivots, 8), nb.pivot_orders(v, two(10), 8)
     assert sum(len(set(a[:4]) & set(b[:4])) for a, b in zip(exact, near)) >= 0.95 * 4 * len(v)
-    assert (nb.pivot_orders(v, pivots, 8, exact=0, probes=10_000) == exact).all()
+    assert (nb.pivot_orders(v, two(10_000), 8) == exact).all()
     sizes = np.full(900, 10)
     sizes[7] = 5000
     cells = nb.cells_of(pivots, sizes, 2000)
