@@ -139,17 +139,17 @@ def cells_of(pivots: Pivots, sizes: np.ndarray, tile: int) -> np.ndarray:
 def footrule_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For all pairs of rows of pivot orders a constant minus half their footrule distance.
 
-    A pivot that an order lacks counts as standing right behind its end. The distance then falls by twice the
-    number of common pivots among the first t of both, summed over t.
+    A pivot that an order lacks counts as standing right behind its end. A pivot that stands at i and j in both then takes max(i, j) less than that
+    from the distance: its weights are looked up in a table of the rows of ``a`` for one place of all rows of ``b`` after the other.
     """
+    length = a.shape[1]
     names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    index = index.reshape(len(a) + len(b), a.shape[1])
-    prefix = np.zeros((len(index), len(names)), dtype=np.float32)
-    rows = np.arange(len(index))
-    common = np.zeros((len(a), len(b)), dtype=np.float32)
-    for t in range(a.shape[1]):
-        prefix[rows, index[:, t]] = 1
-        common += prefix[: len(a)] @ prefix[len(a) :].T
+    index = index.reshape(len(a) + len(b), length)
+    weights = np.zeros((len(a), len(names)), dtype=np.uint8)
+    weights[np.arange(len(a))[:, None], index[: len(a)]] = length - np.arange(length)
+    common = np.zeros((len(a), len(b)), dtype=np.int16)
+    for t in range(length):
+        common += np.minimum(weights[:, index[len(a) :, t]], np.uint8(length - t))
     return common
 
 
@@ -169,17 +169,22 @@ def _compare(vectors: np.ndarray, order: np.ndarray, q: np.ndarray, m: np.ndarra
         rows = q[a : a + 256]
         rank = footrule_similarity(order[rows], order[m])
         rank[rows[:, None] == m[None, :]] = -1
-        least = np.partition(rank, len(m) - rerank, axis=1)[:, len(m) - rerank, None] if len(m) > rerank else 0
-        row, column = np.nonzero(rank >= np.maximum(least, 0))
-        cosine = np.empty(len(row))
-        for i in range(0, len(row), 1 << 15):  # in steps of 32 MB
-            cosine[i : i + (1 << 15)] = np.einsum("ij,ij->i", vectors[rows[row[i : i + (1 << 15)]]], vectors[m[column[i : i + (1 << 15)]]])
-        cosine = np.round(cosine, 6)
-        by = np.lexsort((column, -cosine, row))
-        row, column, cosine = row[by], column[by], cosine[by]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < k
-        found.append((rows[row[kept]], m[column[kept]], cosine[kept]))
+        best = rank >= 0
+        if len(m) > rerank:
+            best &= rank >= np.partition(rank, len(m) - rerank, axis=1)[:, len(m) - rerank, None]
+        if len(m) <= 4 * rerank:  # a product of matrices is cheaper than the pairs one by one
+            cosine = np.where(best, np.round(vectors[rows] @ vectors[m].T, 6), -9)
+        else:
+            cosine = np.full(rank.shape, -9.0)
+            row, column = np.nonzero(best)
+            for i in range(0, len(row), 1 << 15):  # in steps of 32 MB
+                x, y = row[i : i + (1 << 15)], column[i : i + (1 << 15)]
+                cosine[x, y] = np.round(np.einsum("ij,ij->i", vectors[rows[x]], vectors[m[y]]), 6)
+        value = np.rint(cosine * 1e6).astype(np.int64) * len(m) - np.arange(len(m))
+        top = np.argpartition(-value, k - 1, axis=1)[:, :k] if len(m) > k else np.tile(np.arange(len(m)), (len(rows), 1))
+        s = np.take_along_axis(cosine, top, axis=1)
+        row, place = np.nonzero(s > -2)
+        found.append((rows[row], m[top[row, place]], s[row, place]))
     return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
 
 
