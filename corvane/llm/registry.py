@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import docpairs, handwritten, neighbours, packing, spans, splitting, tokens
@@ -80,11 +80,9 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by whether decoding their ids gives back exactly their bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = tokens.decode_corpus(tokens.encode_corpus(docs))
-    want = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("want"))
-    return back.join(want, "doc_id").groupBy((F.col("raw") == F.col("want")).alias("exact")).agg(F.count(F.lit(1)).alias("n"))
+    """The digest of the bytes that the ids of each document decode to."""
+    back = tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return back.select("doc_id", F.md5("raw").alias("digest"), F.octet_length("raw").cast("bigint").alias("n_bytes"))
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +93,27 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p8_pack(spark, sf_dir), _capacity(spark, sf_dir, "pack"))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are packed, and what a packing must not have: containers over capacity, gaps or overlaps in a container, pieces of what fits whole."""
+    capacity = _capacity(spark, sf_dir, "pack")
+    packed = materialize(p8_pack(spark, sf_dir), "packed")
+    in_order = Window.partitionBy("container_id").orderBy("offset", "place")
+    before = F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gaps = packed.withColumn("b", before).agg(F.count_if(F.col("b") != F.col("offset")).alias("gaps"))
+    per_bin = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("over_capacity"))
+    per_doc = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    docs = per_doc.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= capacity)).alias("needless_pieces"))
+    return docs.join(F.broadcast(per_bin)).join(F.broadcast(gaps)).select("documents", "over_capacity", "gaps", "needless_pieces")  # one row each
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_classes(table(spark, sf_dir, "documents"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(table(spark, sf_dir, "documents"))
 
@@ -124,7 +139,9 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_shares": p9_shares,
     "p9_spans": p9_spans,
 }
@@ -143,7 +160,19 @@ SQL = {
           SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
         r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN r USING (s) JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id""",
-    "p7_round_trip": "SELECT true AS exact, count(*) AS n FROM documents",
+    "p9_classes": """WITH w AS (SELECT DISTINCT doc_id, md5_number(substr(text, i, 200)) AS s FROM (
+          SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+        p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM w a JOIN r USING (s) JOIN w b ON a.s = b.s AND a.doc_id <> b.doc_id)
+        SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS class_id, (SELECT count(*) FROM p WHERE x = doc_id) AS n_links FROM documents""",
+    "p9_shares": """WITH w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS s FROM (
+          SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        r AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        c AS (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 200) AS nxt FROM w SEMI JOIN r ON w.s = r.s),
+        n AS (SELECT doc_id, sum(least(200, nxt - i))::BIGINT AS n FROM c GROUP BY doc_id)
+        SELECT doc_id, length(text) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) END AS share FROM documents LEFT JOIN n USING (doc_id)""",
+    "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS n_bytes FROM documents",
+    "p8_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS over_capacity, 0 AS gaps, 0 AS needless_pieces FROM documents",
 }
 
 

@@ -10,7 +10,9 @@ all occurrences of the next one enter by it, the two lie on a nonbranching path:
 occurrences and shares the same spans, and only the head of each path is kept. This compaction is one join of
 incoming with outgoing edges. The surviving occurrences are cut out of the texts with so much context that
 the longest common span through the k-mer can be measured up to ``MIN_SPAN`` characters, and compared character for
-character. Nothing is decided by a hash alone, and no occurrence is capped.
+character, so no pair is given for an equal hash; no occurrence is capped. What is left out, an occurrence of equal context within its
+text and a k-mer behind its path's head, is left out by 64-bit hashes of what it would be compared by. Characters take the part of tokens, as
+spans are measured in characters.
 """
 
 from __future__ import annotations
@@ -347,6 +349,28 @@ def shared_pairs(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> Data
     return compared.mapInArrow(run, "doc_id_a bigint, doc_id_b bigint").distinct()
 
 
+def shared_classes(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
+    """doc_id, class_id and n_links of every document: exact copies have one class, named by their smallest doc_id.
+
+    ``n_links`` counts the other documents that share ``span`` consecutive characters with it, as :func:`shared_pairs` would pair them. Only one
+    document of each class is compared, and its links are weighed by the sizes of the classes, so many copies never become pairs. A null text is a class
+    of its own without links; of several texts of one doc_id one counts.
+    """
+    digest = F.sha2("text", 256)
+    ids = documents.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.struct(digest.alias("d"), F.length("text").alias("n"))).alias("t"))
+    ids = materialize(ids.select("doc_id", F.col("t.d").alias("digest"), F.col("t.n").alias("n_chars")), "digests")
+    classes = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.first("n_chars").alias("n_chars"))
+    classes = materialize(classes, "text-classes")
+    named = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("digest", digest)
+    one = named.join(classes.select(F.col("class_id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+    pairs = materialize(shared_pairs(one, k, span), "class-pairs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_id_a").alias("x"), F.col("doc_id_b").alias("y")), F.struct(F.col("doc_id_b").alias("x"), F.col("doc_id_a").alias("y")))).alias("p")).select("p.*")
+    links = ends.join(classes.select(F.col("class_id").alias("y"), "members"), "y").groupBy(F.col("x").alias("class_id")).agg(F.sum("members").alias("others"))
+    copies = F.when(F.col("n_chars") >= span, F.col("members") - 1).otherwise(0)
+    total = classes.join(links, "class_id", "left").select("digest", "class_id", (copies + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return ids.join(total, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def shared_shares(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
     """doc_id, n_chars, shared_chars and share of every document.
 

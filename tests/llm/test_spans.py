@@ -45,6 +45,12 @@ def test_pairs_and_shares(spark, monkeypatch, span, k, broadcast):
     pairs, shared = brute(docs, span)
     got = [tuple(r) for r in spans.shared_pairs(df, k, span).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+    classes = {r.doc_id: (r.class_id, r.n_links) for r in spans.shared_classes(df, k, span).collect()}
+    first = {}
+    for i, t in docs:
+        if i is not None and t is not None:
+            first[t] = min(i, first.get(t, i))
+    assert classes == {i: (i if t is None else first[t], sum(i in p for p in pairs)) for i, t in docs if i is not None}
     rows = spans.shared_shares(df.where("doc_id IS NOT NULL"), k, span).collect()
     assert {r.doc_id: r.shared_chars for r in rows} == shared
     assert {r.doc_id: r.n_chars for r in rows} == {i: None if t is None else len(t) for i, t in docs if i is not None}
