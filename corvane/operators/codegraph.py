@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import chunking
+
 from corvane.functions.text import SUFFIX_LANGUAGE
 
 EDGE_SCHEMA = "source_file string, source_symbol string, target_file string, target_symbol string, edge_type string, confidence string"
@@ -110,13 +112,42 @@ def _other_edges(text: str, lang: str):
             for name, base in pairs:
                 if base:
                     yield name, base, "implements", "EXTRACTED"
-    for m in _CALL.finditer(_COMMENT.sub(" ", text)):
+    aliases = _js_aliases(text) if family == "javascript" else {}
+    code = _COMMENT.sub(lambda m: "\n" * m.group().count("\n") or " ", text)
+    owners, heads = chunking.owners_of_lines(code, lang)
+    line = at = 0
+    for m in _CALL.finditer(code):
         name = m.group(1)
-        if name in _NOT_CALLS:
+        line += code.count("\n", at, m.start())
+        at = m.start()
+        if name in _NOT_CALLS or heads.get(line) == name:
             continue
+        first, dot, rest = name.partition(".")
+        if first in aliases:
+            name = aliases[first] + dot + rest
         if lang == "csharp" and "." in name and not looks_like_type(name.split(".")[0]):
             name = name.split(".")[-1]  # a qualifier counts only if it names a type
-        yield "", name, "calls", "INFERRED"
+        yield owners[line], name, "calls", "INFERRED"
+
+
+_JS_FROM = re.compile(r"\bimport\s+(?:type\s+)?([^'\";]+?)\s+from\s+['\"]([^'\"]+)['\"]")
+_JS_REQUIRE = re.compile(r"\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)")
+
+
+def _js_aliases(text: str) -> dict[str, str]:
+    """Local names of imports: a default or namespace name stands for its module, a named one for the module's member."""
+    out: dict[str, str] = {}
+    for names, module in [m.groups() for m in _JS_FROM.finditer(text)] + [m.groups() for m in _JS_REQUIRE.finditer(text)]:
+        braces = re.search(r"\{([^}]*)\}", names)
+        for part in braces.group(1).split(",") if braces else ():
+            member, _, local = re.sub(r"^\s*type\s+", "", part).replace(" as ", ":").partition(":")
+            if member.strip():
+                out[(local or member).strip()] = f"{module}.{member.strip()}"
+        for part in re.sub(r"\{[^}]*\}", "", names).split(","):
+            local = part.replace("* as", "").strip()
+            if re.fullmatch(r"[\w$]+", local):
+                out[local] = module
+    return out
 
 
 def looks_like_type(name: str) -> bool:

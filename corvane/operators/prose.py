@@ -50,9 +50,9 @@ def plain_sentences(text: Column | str) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def text_stats(df: DataFrame, group: list[str], text: str) -> DataFrame:
-    """Sentences, words, mean and population deviation of the words of a sentence, and the share of 14 to 21 words."""
-    s = df.select(*group, F.explode(plain_sentences(text)).alias("s")).withColumn("w", F.size(F.regexp_extract_all("s", F.lit(r"[A-Za-z0-9]+"), F.lit(0))))
+def text_stats(df: DataFrame, group: list[str], text: str, splitter=sentences) -> DataFrame:
+    """Sentences (by ``splitter``), words, mean and population deviation of the words of a sentence, and the share of 14 to 21 words."""
+    s = df.select(*group, F.explode(splitter(text)).alias("s")).withColumn("w", F.size(F.regexp_extract_all("s", F.lit(r"[A-Za-z0-9]+"), F.lit(0))))
     return s.groupBy(*group).agg(
         F.count(F.lit(1)).alias("sentences"),
         F.sum("w").cast("bigint").alias("words"),

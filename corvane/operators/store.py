@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from corvane.functions.text import unicode_trim
 from corvane.sources.scan import indexable
 
 
-def write_collection(chunks: DataFrame, path: str, collection: str, dimension: int, mode: str = "overwrite") -> None:
+def write_collection(chunks: DataFrame, path: str, collection: str, dimension: int, mode: str = "overwrite", recreate: bool = False) -> None:
     """Write chunks partitioned by collection, replacing only the collections that are written.
 
-    A vector of another width than the table's is an error; null vectors are stored as they are.
+    A vector of another width than ``dimension`` is an error; null vectors are stored as they are. With ``recreate`` a table that holds vectors of another
+    width (of a model before) is dropped as a whole first.
     """
+    if recreate and _exists(chunks.sparkSession, path):
+        old = chunks.sparkSession.read.parquet(path)
+        if old.where(F.size("embedding") != dimension).limit(1).count():
+            _remove(chunks.sparkSession, path)
     ok = F.assert_true(F.col("embedding").isNull() | (F.size("embedding") == dimension), F.lit(f"a vector isn't of width {dimension}"))
     checked = chunks.withColumn("__ok", ok).where("__ok IS NULL").drop("__ok")
     checked.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(collection).parquet(path)
@@ -53,3 +60,76 @@ def graph_status(links: DataFrame, around: DataFrame) -> DataFrame:
     some = links.limit(1).agg(F.count(F.lit(1)).alias("any"))
     status = F.when(F.col("any") == 0, "absent").when(F.col("hits") == 0, "empty").otherwise("hit")
     return n.join(F.broadcast(some)).select(status.alias("status"), "hits", "callers")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    (fs, a), (_, b) = _path(spark, source), _path(spark, target)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{source} could not be renamed")
+
+
+def delete_folders(spark: SparkSession, folders: list[str], quarantine: str, unregister=lambda: None) -> int:
+    """Delete the stored tables of a project or collection as one step: all or none.
+
+    Every folder is first renamed into ``quarantine``; if one fails, or ``unregister`` does, those renamed go back and the error is raised. Only then are they
+    erased. Folders that don't exist are passed over. Returns how many were deleted.
+    """
+    moved: list[tuple[str, str]] = []
+    try:
+        for i, folder in enumerate(folders):
+            if _exists(spark, folder):
+                target = f"{quarantine}/{uuid.uuid4().hex}-{i}"
+                _rename(spark, folder, target)
+                moved.append((folder, target))
+        unregister()
+    except Exception:
+        for folder, target in reversed(moved):
+            _rename(spark, target, folder)
+        raise
+    for _, target in moved:
+        _remove(spark, target)
+    return len(moved)
+
+
+def _builds(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete builds of a versioned table."""
+    fs, p = _path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("build=") and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def write_build(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Write a new version of a table beside the old ones and keep the last ``keep``; returns its number. A build that breaks off is never read."""
+    spark = df.sparkSession
+    done = _builds(spark, path)
+    number = (done[-1] if done else 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/build={number}")
+    for old in (done + [number])[:-keep]:
+        _remove(spark, f"{path}/build={old}")
+    return number
+
+
+def read_build(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version of a table."""
+    return spark.read.parquet(f"{path}/build={_builds(spark, path)[-1]}")
+
+
+def pending(units: DataFrame, progress: DataFrame, key: str) -> DataFrame:
+    """Units of a long build that a run before didn't finish; ``progress`` has the keys of those that are done."""
+    return units.join(progress.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +55,74 @@ def knn(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec_i
     return scored.select(id_col, F.round("s", 4).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
+#: Queries and vectors of one block of a batch search.
+BLOCK_QUERIES, BLOCK_VECTORS = 2_048, 16_384
+
+
 def batch_knn(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The ``limit`` best rows for each row of ``queries`` (query_id, q).
+    """The ``limit`` best rows for each row of ``queries`` (query_id, q): query_id, ``id_col``, score (4 decimals), rank.
 
-    The query set is stated and small; it is broadcast after its size is checked by the caller. Each partition keeps only
-    its best rows before the exchange.
+    A stated query set against all rows, in blocks of a bounded number of both, so that neither side is broadcast; a block is one
+    matrix product and keeps the best rows of each query. Only vectors of the width of the query that aren't zero have a score. Equal scores go to the smaller id.
     """
-    s = F.round(score_of(cosine(F.col(embedding), F.col("q"))), 4)
-    scored = vectors.join(F.broadcast(queries), F.size(embedding) == F.size("q")).select("query_id", id_col, s.alias("score")).where("score IS NOT NULL")
+    wide = queries.where("q IS NOT NULL").select("query_id", "q")
+    rows = vectors.where(F.col(embedding).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(embedding).alias("v"))
+    n_queries, n_rows = wide.count(), rows.count()
+    blocks, slices = max(1, -(-n_queries // BLOCK_QUERIES)), max(1, -(-n_rows // BLOCK_VECTORS))
+    key = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    asked = wide.select(key("query_id", blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "query_id", "q")
+    given = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), key("id", slices, 2).alias("slice"), "id", "v")
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((vectors, id_col), (queries, "query_id")))
+
+    def matrix(column, width: int) -> np.ndarray:
+        m = np.array([x if len(x) == width and None not in x else [np.nan] * width for x in column.to_pylist()], dtype=np.float64).reshape(-1, width)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.take(pc.sort_indices(two, sort_keys=[("id", "ascending")]))
+        parts: list[tuple] = []
+        width = pc.list_value_length(one.column("q")).to_numpy() if one.num_rows else np.zeros(0, dtype=int)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            q, m = matrix(one.column("q").take(pa.array(rows)), int(w)), matrix(two.column("v"), int(w))
+            for a in range(0, len(rows), 256):
+                score = np.round(1 - (1 - q[a : a + 256] @ m.T) / 2, 4)
+                score = np.where(np.isfinite(score), score, -9)
+                for r, s in zip(rows[a : a + 256], score):
+                    least = np.partition(s, len(s) - limit)[len(s) - limit] if len(s) > limit else -9
+                    at = np.flatnonzero((s >= least) & (s > -9))
+                    best = at[np.lexsort((at, -s[at]))][:limit]  # rows stand in order of their ids
+                    parts.append((np.full(len(best), r), best, s[best]))
+        q, m, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return pa.table({"query_id": one.column("query_id").take(pa.array(q)), id_col: two.column("id").take(pa.array(m)), "score": pa.array(s, pa.float64())})
+
+    pairs = asked.groupBy("block", "slice").cogroup(given.groupBy("block", "slice")).applyInArrow(compare, f"query_id {query_type}, {id_col} {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
+    return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
+
+
+def pack_vector(embedding: Column | str) -> Column:
+    """A vector as the bytes of its 32-bit floats, lowest byte first; null for null."""
+
+    def pack(vectors: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.array(v, dtype="<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+
+    return F.arrow_udf(pack, "binary")(embedding)
+
+
+def unpack_vector(packed: Column | str) -> Column:
+    """The vector of :func:`pack_vector`; bytes that aren't whole floats give null."""
+
+    def unpack(blobs: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4").tolist() for b in blobs.to_pylist()], pa.list_(pa.float32()))
+
+    return F.arrow_udf(unpack, "array<float>")(packed)
+
+
+def packed_dimension(packed: Column | str) -> Column:
+    """Elements of a packed vector, by its bytes alone."""
+    return (F.octet_length(packed) / 4).cast("int")
 
 
 def collection_stats(chunks: DataFrame, collection: str, source: str) -> DataFrame:

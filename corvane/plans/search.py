@@ -77,7 +77,29 @@ def graph_index(edges: DataFrame, iterations: int = 20) -> GraphIndex:
     kinds = real.groupBy(F.col("source_file").alias("a"), F.col("target_file").alias("b")).agg(F.max_by("edge_type", F.struct(weight, F.col("edge_type"))).alias("edge_type"))
     kinds = materialize(kinds, "relations")
     discard(canonical)
-    return GraphIndex(links, kinds, graph.pagerank(links, iterations))
+    return GraphIndex(links, kinds, materialize(graph.pagerank(links, iterations), "ranks"))
+
+
+#: Graph tables that are kept for searches to come.
+CACHED_GRAPHS = 4
+
+
+def cached_graph_index(edges: DataFrame, id_col: str) -> GraphIndex:
+    """:func:`graph_index`, kept for the session by the signature of the edge table; the least recently used of more than ``CACHED_GRAPHS`` goes, with its tables."""
+    s = graph.change_signature(edges, id_col, *graph.EDGE_KEY).first()  # one row
+    sc = edges.sparkSession.sparkContext
+    kept = getattr(sc, "_corvane_graphs", {})
+    key = (s.n, s.max_id, s.checksum)
+    found = kept.pop(key, None)
+    if found is None or found.links._corvane_path not in getattr(sc, "_corvane_tables", []):
+        found = graph_index(edges)
+    kept[key] = found
+    while len(kept) > CACHED_GRAPHS:
+        old = kept.pop(next(iter(kept)))
+        for t in (old.links, old.kinds, old.ranks):
+            discard(t)
+    sc._corvane_graphs = kept
+    return found
 
 
 #: Files that a hop goes on from, for each seed: the most central ones.

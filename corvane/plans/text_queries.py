@@ -118,7 +118,8 @@ def file_variants(s: SparkSession, d: str) -> DataFrame:
 def exclusions(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d).where("path IS NOT NULL")
     path = canonical_path("path")
-    reason = scan.exclusion_reason(path, F.octet_length(F.coalesce("text", F.lit(""))), F.lit(False), F.lit(False))
+    content = F.coalesce("text", F.lit(""))
+    reason = scan.exclusion_reason(path, F.octet_length(content), scan.looks_binary(F.encode(content, "UTF-8")), scan.looks_secret(content))
     return docs.select("doc_id", reason.alias("reason"), scan.in_skipped_folder(path).alias("skipped"))
 
 
@@ -143,6 +144,11 @@ def text_statistics(s: SparkSession, d: str) -> DataFrame:
     return prose.text_stats(_docs(s, d), ["kind"], "text")
 
 
+def plain_text_statistics(s: SparkSession, d: str) -> DataFrame:
+    """The same with sentences by terminal punctuation alone."""
+    return prose.text_stats(_docs(s, d), ["kind"], "text", prose.plain_sentences)
+
+
 def sentence_counts(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).where("text IS NOT NULL").select("doc_id", F.size(prose.sentences("text")).alias("n_sentences"))
 
@@ -194,7 +200,7 @@ QUERIES = {
     for f in (
         token_estimate, token_totals, chunk_ids, query_hashes, identifier_tokens, content_words, redacted, hashed_buckets, languages, citations, related_citations,
         plain_markdown, clean_snippets, topic_slugs, fixed_windows, line_sections, forced_pieces, markdown_chunks, document_chunks, code_chunks, chunk_metadata,
-        file_variants, exclusions, secrets, source_lines, extracted_edges, python_metrics, text_statistics, sentence_counts, prose_findings, comment_findings,
+        file_variants, exclusions, secrets, source_lines, extracted_edges, python_metrics, text_statistics, plain_text_statistics, sentence_counts, prose_findings, comment_findings,
         comment_stops, uniform_comments, first_word_share, page_texts, page_links, regulation_texts,
     )
 }
@@ -254,7 +260,7 @@ SQL = {
       FROM documents WHERE path IS NOT NULL""",
     "source_lines": r"""SELECT raw_id, len(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '^\s*$|^\s*(?:#|//|--|\*|/\*)')))::INT AS loc,
       (1 + len(regexp_extract_all(content, '\b(?:if|for|while|case|catch|elif|elsif|except|when)\b|&&|\|\|')))::INT AS complexity FROM raw_chunks WHERE content IS NOT NULL""",
-    "text_statistics": """WITH s AS (SELECT kind, trim(unnest(regexp_extract_all(text, '[^.!?]+'))) AS s FROM documents),
+    "plain_text_statistics": """WITH s AS (SELECT kind, trim(unnest(regexp_extract_all(text, '[^.!?]+'))) AS s FROM documents),
       w AS (SELECT kind, len(regexp_extract_all(s, '[A-Za-z0-9]+')) AS w FROM s WHERE s <> '')
       SELECT kind, count(*) AS sentences, sum(w)::BIGINT AS words, round(avg(w), 4) AS mean_words, round(stddev_pop(w), 4) AS sd_words,
         round(count(*) FILTER (WHERE w BETWEEN 14 AND 21) / count(*), 4) AS band_share FROM w GROUP BY kind""",

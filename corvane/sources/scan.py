@@ -128,14 +128,26 @@ def exclusion_reason(path: Column, size: Column, binary: Column, secret: Column)
     )
 
 
+def outside_virtualenvs(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files that lie in no virtual environment: in no folder, at whatever depth, that holds a ``pyvenv.cfg``, whatever its name.
+
+    An equi-join of every file's folders with the marked ones.
+    """
+    marked = files.where(F.col(path).rlike(r"(?:^|/)pyvenv\.cfg$")).select(F.regexp_replace(path, r"/?pyvenv\.cfg$", "").alias("__root")).where("__root <> ''").distinct()
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    inside = files.select(F.col(path).alias("__path"), F.explode(above).alias("__root")).join(marked, "__root").select("__path").distinct()
+    return files.join(inside, F.col(path) == F.col("__path"), "left_anti")
+
+
 def scan(files: DataFrame, more_skipped: tuple[str, ...] = ()) -> DataFrame:
     """path, content (text) and hash of the indexable files of ``files`` (path, length, content as bytes).
 
-    Files that aren't UTF-8 keep their row with a null text and the hash ``__unreadable__``.
+    Those of virtual environments and skipped folders are left out. Files that aren't UTF-8 keep their row with a null text and the hash ``__unreadable__``.
     """
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.col("content").cast("string"))
-    kept = files.where(~in_skipped_folder("path", more_skipped)).withColumn("text", text)
+    kept = outside_virtualenvs(files).where(~in_skipped_folder("path", more_skipped)).withColumn("text", text)
     reason = exclusion_reason(F.col("path"), F.col("length"), looks_binary(F.col("content")), looks_secret(F.coalesce("text", F.lit(""))))
     digest = F.when(F.col("text").isNotNull(), F.substring(F.sha2("text", 256), 1, 16)).otherwise(F.lit(UNREADABLE))
     return kept.where(reason.isNull()).select("path", F.col("text").alias("content"), digest.alias("hash"))
