@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import metadata
 from corvane.functions import text as tx
 from corvane.functions.paths import canonical_path
-from corvane.operators import chunking, graph, index, ranking, store
+from corvane.operators import chunking, graph, index, prose, ranking, store, vectors
 from corvane.plans import graph_queries, indexing, retrieval_queries, search
 from corvane.session import materialize, shared_dir, table
 from corvane.sources import logs, markup, scan
-from corvane.streaming import index_stream
+from corvane.streaming import index_stream, runs
 
 EVENT = "event_id bigint, user_id bigint, event_type string, value double"
 HEADING = r"(?:Sec\. |Article |#{1,3} |\d+\. )"
@@ -198,9 +199,59 @@ def collection_rows(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(b if compacted else a).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
+def frame_findings(s: SparkSession, d: str) -> DataFrame:
+    return prose.frame_findings(table(s, d, "documents"), "doc_id", "text")
+
+
+def participle_runs(s: SparkSession, d: str) -> DataFrame:
+    return prose.participle_runs(table(s, d, "documents"), "doc_id", "text")
+
+
+def plain_comments(s: SparkSession, d: str) -> DataFrame:
+    """Words that have plainer ones, planted into the sections of the raw chunks."""
+    t = F.concat(F.lit("Utilizes a robust "), F.coalesce("section", F.lit("")), F.lit(" to leverage it, robustly"))
+    return table(s, d, "raw_chunks").select("raw_id", prose.plain_words(t).alias("comment"))
+
+
+def title_case(s: SparkSession, d: str) -> DataFrame:
+    """Headings in title case, planted for every third document."""
+    t = F.concat(F.lit("# The Main Title Of It\n"), F.when(F.col("doc_id") % 3 == 0, "## Some Of The Big Words\n### API and the rest of it\n").otherwise("## Some of the big words\n"))
+    return table(s, d, "documents").select("doc_id", prose.title_case_headings(t).cast("bigint").alias("n"))
+
+
+def metadata_texts(s: SparkSession, d: str) -> DataFrame:
+    """The typed metadata of chunks after a round trip over JSON text."""
+    fields = "source_file string, scope string, section string, tree_path string, line_start int, line_end int, chunk_index int, token_count int"
+    names = [f.split()[0] for f in fields.split(", ")]
+    return table(s, d, "chunks").select("row_id", metadata.from_text(metadata.to_text(*names), fields).alias("m")).select("row_id", "m.*")
+
+
+def packed_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Chunks by the width of their packed vectors, and how many are the same when unpacked."""
+    p = table(s, d, "chunks").select("embedding", vectors.pack_vector("embedding").alias("p"))
+    same = F.count_if(F.coalesce(F.hex(vectors.pack_vector(vectors.unpack_vector("p"))) == F.hex("p"), F.lit(False)))
+    return p.groupBy(vectors.packed_dimension("p").cast("bigint").alias("width")).agg(F.count(F.lit(1)).alias("n"), same.alias("same"))
+
+
+def session_states(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of users whose sign-ups start, purchases resume and errors end them."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "resume").when(F.col("event_type") == "error", "end").otherwise(F.col("event_type"))
+    e = table(s, d, "events").select("user_id", kind.alias("kind"), F.col("event_id").alias("at"))
+    return runs.session_records(e, "user_id", "kind", "at")
+
+
+def task_changes(s: SparkSession, d: str) -> DataFrame:
+    """Files of the manifest as tasks, before and after a while."""
+    m = table(s, d, "manifest").where("file IS NOT NULL").groupBy(F.col("file").alias("id")).agg(F.max("first_seen_at").alias("modified_at"))
+    n = F.length("id")
+    later = m.where(n % 5 != 0).withColumn("modified_at", F.when(n % 3 == 0, F.timestamp_add("DAY", F.lit(1), F.col("modified_at"))).otherwise(F.col("modified_at")))
+    return runs.task_changes(m.where(n % 7 != 0), later)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        frame_findings, participle_runs, plain_comments, title_case, metadata_texts, packed_vectors, session_states, task_changes,
         logged_events, tailed_events, binary_documents, scanned_files, registered_projects, regulation_sections, crawled_files, pruned_neighbours, graph_state, graph_tables, fused_before_single,
         source_search, updated_documents, sweep_actions, heading_checks, covered, ages, instants, search_log, project_names, collection_rows,
     )
@@ -213,6 +264,17 @@ _EVENTS = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM
 _BOTH = "b AS (SELECT src AS f, dst AS t FROM l UNION SELECT dst, src FROM l)"
 SQL = {
     "logged_events": _EVENTS,
+    "plain_comments": """SELECT raw_id, 'Uses a solid ' || coalesce(section, '') || ' to use it, robustly' AS comment FROM raw_chunks""",
+    "title_case": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM documents",
+    "metadata_texts": "SELECT row_id, source_file, scope, section, tree_path, line_start, line_end, chunk_index, token_count FROM chunks",
+    "packed_vectors": "SELECT len(embedding) AS width, count(*) AS n, count(embedding) AS same FROM chunks GROUP BY ALL",
+    "session_states": """WITH g AS (SELECT user_id, min(event_id) FILTER (event_type = 'signup') AS started_at, count(*) FILTER (event_type = 'purchase') + greatest(count(*) FILTER (event_type = 'signup') - 1, 0) AS resumes,
+        max(event_id) FILTER (event_type IN ('signup', 'purchase')) AS b, max(event_id) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type NOT IN ('signup', 'purchase', 'error')) AS n_events
+        FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+      SELECT user_id, started_at, resumes, CASE WHEN b IS NULL OR e >= b THEN e END AS ended_at, n_events FROM g""",
+    "task_changes": """WITH m AS (SELECT DISTINCT file AS id, length(file) AS n FROM manifest WHERE file IS NOT NULL)
+      SELECT id, CASE WHEN n % 7 = 0 THEN 'added' WHEN n % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM m
+      WHERE (n % 7 = 0 AND n % 5 <> 0) OR (n % 7 <> 0 AND (n % 5 = 0 OR n % 3 = 0))""",
     "tailed_events": _EVENTS,
     "binary_documents": "SELECT doc_id, regexp_matches(left(hex(encode(CASE WHEN doc_id % 7 = 0 THEN text || chr(0) ELSE text END)), 16384), '^(?:..)*?00') AS binary FROM documents WHERE text IS NOT NULL",
     "registered_projects": """SELECT scope AS project, '/code/' || scope AS path, count(DISTINCT source_file) AS n_files, count(*) AS n_chunks, count(DISTINCT source_file) % 2 = 0 AS incomplete

@@ -167,6 +167,26 @@ def test_graph_tables_are_made_once(spark):
     assert search.cached_graph_index(e, "edge_id") is not one and others[-1].ranks.count() == 3
 
 
+def test_prose_frames_and_words(spark, rows):
+    from corvane.operators import prose
+
+    body = " ".join(f"Sentence number {i} tells of thing{i}." for i in range(8))
+    texts = [
+        (1, "# Worker pool setup\n\nThe worker pool setup."), (2, "In today's world of queues all is well."), (3, f"{body}\n\nSentence number thing1 thing2 tells thing3 thing4 thing5 tells."), (4, f"{body}\n\nIn short this new matter deserves another closer look."),
+        (5, "\n\n".join(f"So the part {i} goes." for i in range(4))), (6, "Looking around. Running away. Tested again. It ends here."), (7, None), (8, ""),
+    ]
+    df = spark.createDataFrame(texts, "id int, t string")
+    assert rows(prose.frame_findings(df, "id", "t")) == [(1, "opening restates title"), (2, "generic opening"), (3, "closing restates body"), (4, "summary closing"), (5, "paragraphs open alike")]
+    assert rows(prose.participle_runs(df, "id", "t"), "id", "start", "length") == [(6, 0, 3)]
+    bad = spark.createDataFrame([(1, "We delve into robust, simple, and clean process. It is crucial, crucial, and leverages the tool, ensuring x. More, allowing y. It's worth noting that\nWhy does it matter to us?\n## The Big Bad Words")], "id int, t string")
+    got = {r.rule: r.n for r in prose.rule_findings(bad, "id", "t").collect()}
+    assert got == {"banned word": 2, "figurative word": 1, "capped word": 1, "banned phrase": 1, "stacked adjectives": 1, "rhetorical opener": 1, "participle tail": 1, "title case": 1}
+    lines = spark.createDataFrame([("a", i, f"// x{i}") for i in range(5)] + [("b", i, "//  x") for i in range(5)], "f string, line int, t string")
+    assert rows(prose.uniform_spacing(lines, "f", "t")) == [("a", 5)]
+    marks = spark.createDataFrame([("a", 1, "Utilizes `a — b` here"), ("a", 2, "one \u2013 two"), ("a", 3, "one - two - 3"), ("a", 4, "word " * 21), ("a", 5, "must " + "word " * 21)], "f string, line int, t string")
+    assert rows(prose.comment_checks(marks, "f", "line", "t"), "line", "check") == [(1, "banned word"), (2, "dash"), (3, "spaced hyphen"), (4, "too long")]
+
+
 def test_intermediates_are_deleted(spark):
     from pathlib import Path
 
