@@ -114,6 +114,10 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_classes(table(spark, sf_dir, "documents"))
 
 
+def p9_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.repeated_paths(table(spark, sf_dir, "documents"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(table(spark, sf_dir, "documents"))
 
@@ -142,6 +146,7 @@ QUERIES = {
     "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_classes": p9_classes,
+    "p9_paths": p9_paths,
     "p9_shares": p9_shares,
     "p9_spans": p9_spans,
 }

@@ -12,17 +12,19 @@ incoming with outgoing edges. The surviving occurrences are cut out of the texts
 the longest common span through the k-mer can be measured up to ``MIN_SPAN`` characters, and compared character for
 character, so no pair is given for an equal hash; no occurrence is capped. What is left out, an occurrence of equal context within its
 text and a k-mer behind its path's head, is left out by 64-bit hashes of what it would be compared by. Characters take the part of tokens, as
-spans are measured in characters.
+spans are measured in characters. :func:`repeated_paths` gives the compacted paths themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import materialize
+from corvane.session import discard, materialize
 
 MIN_SPAN = 200
 #: Characters of a k-mer; the window over k-mers is MIN_SPAN - K + 1.
@@ -73,7 +75,7 @@ def select_kmers(codes: np.ndarray, lengths: np.ndarray, k: int, span: int):
     """Selected k-mers of texts laid end to end.
 
     Returns positions, the number of the text, hash, hash of the edge that enters (0: none), of the one that
-    leaves, and a hash of the context. Windows that reach into the next text only select more than needed.
+    leaves, a hash of the context, and how far the selected k-mer before it is away. Windows that reach into the next text only select more than needed.
     """
     n, w = len(codes), span - k + 1
     power, inverse = _powers(n)
@@ -100,15 +102,17 @@ def select_kmers(codes: np.ndarray, lengths: np.ndarray, k: int, span: int):
 
     enter = np.zeros(len(p), dtype=np.uint64)
     leave = np.zeros(len(p), dtype=np.uint64)
+    gap = np.zeros(len(p), dtype=np.int64)
     if len(p) > 1:
         same = text[1:] == text[:-1]
         edge = hashed(p[:-1], p[1:] + k) | np.uint64(1)
         leave[:-1] = np.where(same, edge, 0)
         enter[1:] = np.where(same, edge, 0)
+        gap[1:] = np.where(same, p[1:] - p[:-1], 0)
     around = span - k
     b, e = np.maximum(p - around, start), np.minimum(p + k + around, stop)
     context = _mix(hashed(b, e) + (p - b).astype(np.uint64))
-    return p - start, text, h[p], enter, leave, context
+    return p - start, text, h[p], enter, leave, context, gap
 
 
 def _stretches(length: int, margin: int):
@@ -127,11 +131,11 @@ def _stretches(length: int, margin: int):
 def _emit(group, k: int, span: int, every: bool):
     """Arrays of the selected k-mers of a group of (doc_id, stretch, codes); unless ``every``, one for each context in a text."""
     lengths = np.array([len(c) for _, _, c in group], dtype=np.int64)
-    pos, text, h, enter, leave, context = select_kmers(np.concatenate([c for _, _, c in group]), lengths, k, span)
+    pos, text, h, enter, leave, context, gap = select_kmers(np.concatenate([c for _, _, c in group]), lengths, k, span)
     lo = np.array([s[0] for _, s, _ in group], dtype=np.int64)[text]
     mine = (pos + lo >= np.array([s[2] for _, s, _ in group])[text]) & (pos + lo < np.array([s[3] for _, s, _ in group])[text])
     ids = np.array([d for d, _, _ in group], dtype=np.int64)[text]
-    arrays = (h, ids, pos + lo, enter, leave)
+    arrays = (h, ids, pos + lo, enter, leave, gap)
     if every:
         return [a[mine].view(np.int64) if a.dtype == np.uint64 else a[mine] for a in arrays]
     # an occurrence with the same context in the same text shares nothing with other documents that the first one does not
@@ -146,14 +150,14 @@ def _emit(group, k: int, span: int, every: bool):
 
 
 def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN, every: bool = False) -> DataFrame:
-    """h, doc_id, pos, enter, leave of the selected k-mers; texts shorter than ``span`` have none.
+    """h, doc_id, pos, enter, leave, gap of the selected k-mers; texts shorter than ``span`` have none.
 
     Without ``every`` a k-mer comes once for each context that it has in a text, which is enough to find pairs of documents.
     """
     margin = 2 * span
 
     def run(batches):
-        names = ["h", "doc_id", "pos", "enter", "leave"]
+        names = ["h", "doc_id", "pos", "enter", "leave", "gap"]
 
         def table(group):
             arrays = _emit(group, k, span, every)
@@ -176,7 +180,7 @@ def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN, eve
                 yield table(group)
 
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select(F.col("doc_id").cast("bigint"), "text")
-    return texts.mapInArrow(run, "h bigint, doc_id bigint, pos bigint, enter bigint, leave bigint")
+    return texts.mapInArrow(run, "h bigint, doc_id bigint, pos bigint, enter bigint, leave bigint, gap bigint")
 
 
 def _repeated(documents: DataFrame, k: int, span: int, every: bool) -> DataFrame:
@@ -189,7 +193,8 @@ def _repeated(documents: DataFrame, k: int, span: int, every: bool) -> DataFrame
     once = kmer_occurrences(documents, k, span).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     hashes = materialize(once.where("lo <> hi").select("h"), "repeated-hashes")
     few = hashes.count() <= BROADCAST_HASHES
-    rows = kmer_occurrences(documents, k, span, every).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
+    rows = kmer_occurrences(documents, k, span, every)
+    rows = (rows if every else rows.drop("gap")).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
     return materialize(rows, "repeated-kmers")
 
 
@@ -210,6 +215,58 @@ def path_heads(occurrences: DataFrame) -> DataFrame:
     return occurrences.join(out, "in_edge", "left_anti").select("h", "doc_id", "pos", "n")
 
 
+def compact_paths(nodes: DataFrame) -> DataFrame:
+    """h, head, offset: the nonbranching path of every node, named by its first k-mer, and how far behind that the node stands.
+
+    ``nodes``: h, in_edge, out_edge, gap. A node whose only entering edge is the only way out of another one follows it. The chains are
+    compacted by joining the links with themselves, which doubles what a link spans, so there are as many rounds as the logarithm of the longest chain. Every
+    round is written and the one before deleted. A chain can't be a ring, as the first occurrence in a text isn't entered like the others.
+    """
+    before = nodes.where("out_edge IS NOT NULL").select(F.col("out_edge").alias("in_edge"), F.col("h").alias("up"))
+    links = materialize(nodes.select("h", "in_edge", "gap").join(before, "in_edge", "left").select("h", "up", F.when(F.col("up").isNotNull(), F.col("gap")).otherwise(0).alias("offset")), "links")
+    while links.alias("a").join(links.where("up IS NOT NULL").select(F.col("h").alias("up")), "up", "left_semi").limit(1).count():
+        above = links.select(F.col("h").alias("up"), F.col("up").alias("__up"), F.col("offset").alias("__offset"))
+        farther = links.join(above, "up", "left").select("h", F.coalesce("__up", "up").alias("up"), (F.col("offset") + F.coalesce("__offset", F.lit(0))).alias("offset"))
+        old, links = links, materialize(farther, "links")
+        discard(old)
+    return links.select("h", F.coalesce("up", "h").alias("head"), "offset")
+
+
+def repeated_paths(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> DataFrame:
+    """doc_id, start (from 0), length, n_documents and n_places of the compacted paths of at least ``span`` characters that stand in more than one document.
+
+    doc_id and start are the first place. Each place of a path's first k-mer is cut out of its text for the whole length of the path and
+    digested (SHA-256), so the places of a row are verbatim copies. Where copies part and meet again, they are several paths.
+    Null ids and texts, and texts shorter than ``span``, have none.
+    """
+    rows = _repeated(documents, k, span, True)
+    agreed = lambda c, name: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(name)
+    nodes = materialize(rows.groupBy("h").agg(agreed("enter", "in_edge"), agreed("leave", "out_edge"), F.max("gap").alias("gap")), "nodes")
+    paths = compact_paths(nodes).groupBy("head").agg((F.max("offset") + k).alias("length")).where(F.col("length") >= span)
+    places = rows.select(F.col("h").alias("head"), "doc_id", "pos").join(paths, "head")
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for d, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places")):
+                text = text.as_py()
+                for p in found.as_py():
+                    cut = text[p["pos"] : p["pos"] + p["length"]]
+                    if len(cut) == p["length"]:
+                        out.append((p["head"], d, p["pos"], p["length"], hashlib.sha256(cut.encode("utf-8", "surrogatepass")).digest()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], names=["head", "doc_id", "start", "length", "digest"])
+
+    # bounded by the length of one text
+    by_text = places.groupBy(F.col("doc_id").alias("at_doc")).agg(F.collect_list(F.struct("head", "pos", "length")).alias("places"))
+    texts = documents.where(F.length("text") >= span).select(F.col("doc_id").cast("bigint"), "text")
+    cut = texts.join(by_text, F.col("doc_id") == F.col("at_doc")).select("doc_id", "text", "places").mapInArrow(run, "head bigint, doc_id bigint, start bigint, length bigint, digest binary")
+    # documents are counted by the partial groups of path and document, so a path in a third of them has one row for each
+    per_doc = cut.distinct().groupBy("head", "length", "digest", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
+    whole = per_doc.groupBy("head", "length", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_places"))
+    return whole.where("n_documents > 1").select("first.doc_id", "first.start", "length", "n_documents", "n_places")
+
+
 def with_context(occurrences: DataFrame, documents: DataFrame, k: int, span: int) -> DataFrame:
     """Add the text before (``before``, up to span - k characters) and from the k-mer on (``after``, up to span)."""
 

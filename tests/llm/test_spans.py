@@ -56,6 +56,36 @@ def test_pairs_and_shares(spark, monkeypatch, span, k, broadcast):
     assert {r.doc_id: r.n_chars for r in rows} == {i: None if t is None else len(t) for i, t in docs if i is not None}
 
 
+@pytest.mark.parametrize("seed", [3, 40])
+def test_paths_are_verbatim_copies_and_as_long_as_they_can_be(spark, seed):
+    docs = corpus(seed) + [(200 + i, t) for i, t in enumerate(["x" * 7 + "Long shared tail, " * 9 + "a%d" % i for i in range(3)])]
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    docs += [(300, "before " + passage + " after"), (301, passage), (302, "other " + passage[:500]), (303, passage + passage)]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id long, text string, h string, head int")
+    text = {i: t for i, t in docs if i is not None and t}
+    rows = spans.repeated_paths(df, 20, 40).collect()
+    for r in rows:
+        cut = text[r.doc_id][r.start : r.start + r.length]
+        assert len(cut) == r.length >= 40 and 2 <= r.n_documents <= sum(cut in t for t in text.values()) and r.n_places >= r.n_documents
+    # the copies of the passage part at its 500th character only, so two long paths cover it
+    long = sorted(r.length for r in rows if r.doc_id in (300, 301))
+    assert long and long[-1] >= 350 and sum(long[-2:]) >= 700
+    assert spans.repeated_paths(df.limit(0), 20, 40).count() == 0
+
+
+def test_chains_are_compacted(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**6), 60)
+    rows, want = [], {}
+    for a, b in ((0, 1), (1, 30), (30, 60)):
+        for i in range(a, b):
+            rows.append((names[i], None if i == a else names[i] * 7, None if i == b - 1 else names[i + 1] * 7, i))
+            want[names[i]] = (names[a], sum(range(a + 1, i + 1)))
+    nodes = spark.createDataFrame(rows, "h long, in_edge long, out_edge long, gap long")
+    assert {r.h: (r.head, r.offset) for r in spans.compact_paths(nodes).collect()} == want
+
+
 def repeated_passages():
     rng = random.Random(11)
     text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
