@@ -116,7 +116,10 @@ def structural_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunk_query(chunks: DataFrame) -> list[float]:
-    return _query(search.usable_chunks(chunks).where(vectors.norm(F.col("embedding")) > 0), "chunk_id IS NOT NULL", "chunk_id")
+    """The vector of the first chunk that has one; a chunk that was indexed again has the same vector in both rows."""
+    usable = chunks.where((F.size("embedding") == 64) & F.col("chunk_id").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    first = usable.orderBy("chunk_id", F.desc("indexed_at"), F.desc("row_id")).select("embedding").first()
+    return list(first[0]) if first else [0.0] * 64
 
 
 def chunk_search(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvane.functions.paths import canonical_path
 from corvane.operators import graph, ranking, vectors
 from corvane.plans.indexing import search_topic
-from corvane.session import discard, materialize
+from corvane.session import discard, gathered, materialize
 
 MODES = ("vector", "graph", "both")
 
@@ -112,8 +112,9 @@ def graph_leg(chunks: DataFrame, index: GraphIndex, seeds: DataFrame, depth: int
     ``seeds``: source_file, score; a few. A hop keeps the ``max_nodes`` most central new files of a seed, so everything after it is small. The score of a
     neighbour stays the pure structural number; centrality only moves the order. It is the PageRank with restarts at the seeds, taken within the neighbourhood.
     """
-    per_file = materialize(seeds.groupBy(F.col("source_file").alias("seed")).agg(F.max("score").alias("seed_score")), "seeds")
-    near = graph.neighbours(index.links, per_file.select("seed"), depth, direction, max_nodes, index.ranks)
+    per_file = gathered(seeds.groupBy(F.col("source_file").alias("seed")).agg(F.max("score").alias("seed_score")), limit)
+    reached = max_nodes * depth * limit
+    near = gathered(graph.neighbours(index.links, per_file.select("seed"), depth, direction, max_nodes, index.ranks), reached)
     forward = near.join(index.kinds, (F.col("seed") == F.col("a")) & (F.col("file") == F.col("b")), "left").select("seed", "file", "hop", F.col("edge_type").alias("e1"))
     both = forward.join(index.kinds, (F.col("file") == F.col("a")) & (F.col("seed") == F.col("b")), "left").select(
         "seed", "file", "hop", F.coalesce("e1", "edge_type").alias("relation"), (F.col("e1").isNull() & F.col("edge_type").isNotNull()).alias("is_caller")
@@ -122,20 +123,21 @@ def graph_leg(chunks: DataFrame, index: GraphIndex, seeds: DataFrame, depth: int
     best = scored.join(per_file.select(F.col("seed").alias("file")), "file", "left_anti").groupBy("file").agg(
         F.max_by(F.struct("seed", "relation", "is_caller", "hop", "score"), F.struct("score", F.col("seed"))).alias("r")
     )
-    best = materialize(best.select("file", "r.*"), "around")
+    best = gathered(best.select("file", "r.*"), reached)
     # at most max_nodes files for each hop and seed, and the links among them
-    files = F.broadcast(materialize(best.select("file").union(per_file.select("seed")).distinct(), "neighbourhood"))
+    files = F.broadcast(best.select("file").union(per_file.select("seed")).distinct())
     inner = index.links.join(files.select(F.col("file").alias("src")), "src", "left_semi").join(files.select(F.col("file").alias("dst")), "dst", "left_semi")
     central = graph.pagerank(inner.select("src", "dst"), seeds=per_file.select(F.col("seed").alias("file")), in_memory=True).select("file", F.round("score", 9).alias("pr"))
     rank = lambda c: F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "file"))
     ordered = best.join(central, "file", "left").withColumn("a", rank("score")).withColumn("b", rank("pr"))
     fused = F.round(1.0 / (ranking.RRF_K + F.col("a")) + ranking.CENTRALITY_WEIGHT / (ranking.RRF_K + F.col("b")), 6)
-    kept = materialize(ordered.withColumn("fused", fused).orderBy(F.desc("fused"), "file").limit(max(3 * limit, 15)), "kept")
+    most = max(3 * limit, 15)
+    kept = gathered(ordered.withColumn("fused", fused).orderBy(F.desc("fused"), "file").limit(most), most)
     # of the few files kept the first chunk, found without contents, which are fetched last
     usable = chunks.where(F.size("embedding").isNotNull()).join(F.broadcast(kept.select("file")), canonical_path("source_file") == F.col("file"))
     latest = usable.groupBy("file", "chunk_id").agg(F.max(F.struct("indexed_at", "row_id", "chunk_index")).alias("l"))
     first = latest.groupBy("file").agg(F.min(F.struct("l.chunk_index", "chunk_id", "l.row_id")).alias("f"))
-    rows = materialize(kept.join(first.select("file", "f.row_id"), "file"), "first-chunks")
+    rows = gathered(kept.join(first.select("file", "f.row_id"), "file"), most)
     got = chunks.select("row_id", *HIT).join(F.broadcast(rows), "row_id")
     return got.select("chunk_id", F.col("file").alias("source_file"), "section", "line_start", "line_end", "content", "score", "relation", "seed", "is_caller", "hop", "fused")
 
@@ -161,10 +163,10 @@ def search(
     if mode == "graph":
         top = around.orderBy(F.desc("fused"), "chunk_id").limit(limit)
         return top.select("chunk_id", "source_file", "score", F.col("fused").alias("rrf_score"), F.lit("graph").alias("search_mode"))
-    near = materialize(vector_leg(chunks, query_vector, limit, min_score), "hits")
-    around = materialize(around, "graph-hits")
+    near = gathered(vector_leg(chunks, query_vector, limit, min_score), limit)
+    around = gathered(around, max(3 * limit, 15))
     graph_list = around.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "chunk_id")).cast("bigint"))
-    pool = materialize(near.select(hits).unionByName(graph_list.select(hits)).dropDuplicates(["chunk_id"]), "pool")
+    pool = gathered(near.select(hits).unionByName(graph_list.select(hits)).dropDuplicates(["chunk_id"]), limit + max(3 * limit, 15))
     words = keyword_leg(pool, query, limit)
     lists = [
         df.select("chunk_id", F.lit(i).alias("list_id"), "rank", F.lit(1.0).alias("weight")) for i, df in enumerate((near, graph_list, words))

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def gathered(df: DataFrame, most: int) -> DataFrame:
+    """A result of at most ``most`` rows by its parameters, computed once, held by the plan itself and broadcast in joins; a larger one is written like any other."""
+    rows = df.limit(most + 1).collect()  # at most ``most`` + 1
+    return materialize(df, "gathered") if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def _delete(spark: SparkSession, folders: list[str]) -> int:
     sc = spark.sparkContext
     for folder in folders:
