@@ -341,7 +341,7 @@ def neighbour_pairs(chunks: DataFrame, k: int = 5, **parameters) -> DataFrame:
 
 
 #: Queries and vectors of one block of the exact comparison.
-EXACT_QUERIES, EXACT_VECTORS = 2_048, 16_384
+EXACT_QUERIES, EXACT_VECTORS = 8_192, 16_384
 
 
 def exact_neighbours(vectors: DataFrame, id_col: str, embedding: str, is_query: str, k: int = 5, *, dimensions: int = DIMENSIONS) -> DataFrame:
