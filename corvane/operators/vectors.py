@@ -56,7 +56,7 @@ def knn(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec_i
 
 
 #: Queries and vectors of one block of a batch search.
-BLOCK_QUERIES, BLOCK_VECTORS = 2_048, 16_384
+BLOCK_QUERIES, BLOCK_VECTORS = 8_192, 16_384
 
 
 def batch_knn(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
