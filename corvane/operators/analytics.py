@@ -262,7 +262,13 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^(?:.*/)?"), F.regexp_replace(g, "\x01", "(?:.*)?"), F.lit("$"))
 
 
+#: Patterns of a scope; they are written by hand, one for a folder or kind of file.
+MAX_PATTERNS = 1_000
+
+
 def in_scope(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Files that match any of ``patterns`` (pattern), a list of bounded length that is broadcast."""
-    p = patterns.select(glob_regex(F.col("pattern")).alias("re")).distinct()
-    return files.join(F.broadcast(p), F.expr("file RLIKE re"), "left_semi")
+    """Files that match any of ``patterns`` (pattern): at most ``MAX_PATTERNS`` distinct ones, which become one expression; more are refused."""
+    p = [r.re for r in patterns.select(glob_regex(F.col("pattern")).alias("re")).where("re IS NOT NULL").distinct().orderBy("re").limit(MAX_PATTERNS + 1).collect()]
+    if len(p) > MAX_PATTERNS:
+        raise ValueError(f"a scope has at most {MAX_PATTERNS} patterns")
+    return files.where(F.col("file").rlike("|".join(f"(?:{x})" for x in p)) if p else F.lit(False))

@@ -135,18 +135,21 @@ def keyword_hits(content: Column, query: str) -> Column:
     return F.size(F.filter(query_words(query), lambda w: F.contains(c, w)))
 
 
-def demote_by_keywords(ranked: DataFrame, query: str, rank: str = "rank") -> DataFrame:
-    """Stable reordering by keyword hits: ``hits`` and ``new_rank``; results without any go to the end."""
-    hit = ranked.withColumn("hits", keyword_hits(F.col("content"), query).cast("bigint"))
-    return hit.withColumn("new_rank", F.row_number().over(Window.orderBy(F.desc("hits"), rank)).cast("bigint"))
+def demote_by_keywords(ranked: DataFrame, query: str, lists: tuple[str, ...] = (), rank: str = "rank") -> DataFrame:
+    """Stable reordering of each list by keyword hits: ``hits`` and ``new_rank``; results without any go to the end.
+
+    ``lists`` are the columns that tell lists apart; only hits and ranks are sorted, and contents are read in the scan.
+    """
+    hit = ranked.withColumn("hits", keyword_hits(F.col("content"), query).cast("bigint")).drop("content")
+    return hit.withColumn("new_rank", F.row_number().over(Window.partitionBy(*lists).orderBy(F.desc("hits"), rank)).cast("bigint"))
 
 
-def keyword_overlap_ratio(ranked: DataFrame, query: str, top: int = 3, rank: str = "rank") -> DataFrame:
-    """Share of the query's words that stand in the top results together; 1 if it has none."""
-    joined = ranked.where(F.col(rank) <= top).agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct(F.col(rank), F.lower("content").alias("c")))).getField("c")).alias("all"))
+def keyword_overlap_ratio(ranked: DataFrame, query: str, lists: tuple[str, ...] = (), top: int = 3, rank: str = "rank") -> DataFrame:
+    """Share of the query's words that stand in the top results of each list together; 1 if it has none."""
+    joined = ranked.where(F.col(rank) <= top).groupBy(*lists).agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct(F.col(rank), F.lower("content").alias("c")))).getField("c")).alias("all"))
     words = query_words(query)
     found = F.size(F.filter(words, lambda w: F.contains(F.col("all"), w)))
-    return joined.select(F.when(F.size(words) == 0, 1.0).otherwise(F.round(found / F.size(words), 6)).alias("ratio"))
+    return joined.select(*lists, F.when(F.size(words) == 0, 1.0).otherwise(F.round(found / F.size(words), 6)).alias("ratio"))
 
 
 def source_tier(host: Column, preferred, demoted) -> Column:

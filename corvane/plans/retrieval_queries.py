@@ -86,17 +86,20 @@ def boosted_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked_documents(spark: SparkSession, sf: str) -> DataFrame:
-    # the ranked list is the result of a top-k search; here the longest texts stand for it
-    top = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.length("text").alias("n")).where("n IS NOT NULL").orderBy(F.desc("n"), "doc_id").limit(40)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "doc_id")))
+    """All documents as results of one search in each source and kind, the longest first."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("kind", F.lit("")).alias("kind"), F.col("text").alias("content"))
+    w = Window.partitionBy("source", "kind").orderBy(F.desc("n"), "doc_id")
+    # ranked on the small columns, so contents aren't sorted
+    ranks = docs.select("doc_id", "source", "kind", F.length("content").alias("n")).withColumn("rank", F.row_number().over(w)).select("doc_id", "rank")
+    return docs.join(ranks, "doc_id")
 
 
 def keyword_demotion(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.demote_by_keywords(_ranked_documents(spark, sf), KEYWORD_QUERY).select("doc_id", "hits", "new_rank")
+    return ranking.demote_by_keywords(_ranked_documents(spark, sf), KEYWORD_QUERY, ("source", "kind")).select("doc_id", "hits", "new_rank")
 
 
 def keyword_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.keyword_overlap_ratio(_ranked_documents(spark, sf), KEYWORD_QUERY)
+    return ranking.keyword_overlap_ratio(_ranked_documents(spark, sf), KEYWORD_QUERY, ("source", "kind"))
 
 
 PREFERRED, DEMOTED = ("velvet-ledge-etl.example.net", "dev.example.org"), ("fe.example.com",)
@@ -191,7 +194,7 @@ def _lists(weight: str) -> str:
       SELECT vec_id, rrf_score, row_number() OVER (ORDER BY rrf_score DESC, seen, vec_id) AS fused_rank FROM f"""
 
 
-_RANKED = "r AS (SELECT *, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, text AS content, length(text) AS n FROM documents WHERE text IS NOT NULL ORDER BY n DESC, doc_id LIMIT 40))"
+_RANKED = "r AS (SELECT doc_id, text AS content, coalesce(source, '') AS source, coalesce(kind, '') AS kind, row_number() OVER (PARTITION BY coalesce(source, ''), coalesce(kind, '') ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE text IS NOT NULL)"
 _HITS = f"len(list_filter({_query_words()}, lambda w: contains(lower(content), w)))"
 _PATH = "lower(coalesce(source_id, ''))"
 _BODY = "lower(coalesce(content, ''))"
@@ -224,9 +227,9 @@ SQL = {
         + {' + '.join(f'CASE WHEN {_in_words(_PATH, words)} THEN {by} ELSE 0 END' for by, words in ranking.PATH_BOOSTS)}
         + {' + '.join(f'CASE WHEN {_in_words(_BODY, words)} THEN {by} ELSE 0 END' for by, words in ranking.CONTENT_BOOSTS)}
         + least(0.15, 0.05 * ({' + '.join(f'{_in_words(_BODY, [w])}::INT' for w in ranking.PRESCRIPTIVE)})), 0), 1)::DOUBLE, 4) AS score FROM doc_chunks""",
-    "keyword_demotion": f"WITH {_RANKED} SELECT doc_id, {_HITS} AS hits, row_number() OVER (ORDER BY {_HITS} DESC, rank) AS new_rank FROM r",
-    "keyword_overlap": f"""WITH {_RANKED}, c AS (SELECT string_agg(content, ' ' ORDER BY rank) AS content FROM r WHERE rank <= 3)
-      SELECT round({_HITS} / len({_query_words()}), 6) AS ratio FROM c""",
+    "keyword_demotion": f"WITH {_RANKED} SELECT doc_id, {_HITS} AS hits, row_number() OVER (PARTITION BY source, kind ORDER BY {_HITS} DESC, rank) AS new_rank FROM r",
+    "keyword_overlap": f"""WITH {_RANKED}, c AS (SELECT source, kind, string_agg(content, ' ' ORDER BY rank) AS content FROM r WHERE rank <= 3 GROUP BY source, kind)
+      SELECT source, kind, round({_HITS} / len({_query_words()}), 6) AS ratio FROM c""",
     "source_tiers": """SELECT doc_id, CASE WHEN h = 'velvet-ledge-etl.example.net' OR h LIKE '%.velvet-ledge-etl.example.net' OR h = 'dev.example.org' OR h LIKE '%.dev.example.org' THEN 0
       WHEN h = 'fe.example.com' OR h LIKE '%.fe.example.com' THEN 2 ELSE 1 END::BIGINT AS tier
       FROM (SELECT doc_id, lower(coalesce(source, 'none') || CASE WHEN lang = 'en' THEN '.example.net' ELSE '.dev.example.org' END) AS h FROM documents)""",

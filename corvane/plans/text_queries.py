@@ -107,8 +107,9 @@ def code_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_metadata(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunks").select("row_id", "source_file", F.col("chunk_index"), "token_count", parent_dir(canonical_path("source_file")).alias("tree_path"))
-    return chunking.not_degenerate(c).select("row_id", "tree_path", "token_count")
+    """The stored form of the chunks that aren't degenerate: id and all fields of the metadata."""
+    c = table(s, d, "chunks").withColumn("source_file", canonical_path("source_file"))
+    return chunking.with_metadata(chunking.not_degenerate(c), "source_file", "scope", F.col("indexed_at")).select("chunk_id", "metadata.*")
 
 
 def file_variants(s: SparkSession, d: str) -> DataFrame:
@@ -244,7 +245,8 @@ SQL = {
     "line_sections": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
       n AS (SELECT *, sum(regexp_matches(t, '^#{1,3}\s+')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
       SELECT doc_id, section::BIGINT AS section, count(*) AS n_lines, sum(length(t))::BIGINT AS n_chars FROM n GROUP BY ALL""",
-    "chunk_metadata": f"SELECT row_id, regexp_replace({_PATH.format('source_file')}, '/?[^/]*$', '') AS tree_path, token_count FROM chunks WHERE token_count >= 10",
+    "chunk_metadata": f"""SELECT substr(sha256(f || '::' || chunk_index), 1, 16) AS chunk_id, f AS source_file, scope, section, regexp_replace(f, '/?[^/]*$', '') AS tree_path, line_start, line_end, indexed_at, chunk_index, token_count
+      FROM (SELECT *, {_PATH.format('source_file')} AS f FROM chunks WHERE token_count >= 10)""",
     "file_variants": rf"""WITH f AS (SELECT DISTINCT {_PATH.format('file')} AS file FROM manifest WHERE file <> ''),
       b AS (SELECT file, regexp_replace(file, '([^/])\.[^./]*$', '\1') AS bare FROM f),
       k AS (SELECT file, file AS key, 0 AS p FROM b UNION ALL SELECT file, regexp_extract(bare, '([^/]*)$', 1), 1 FROM b UNION ALL SELECT file, bare, 1 FROM b
