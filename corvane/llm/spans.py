@@ -183,8 +183,8 @@ def kmer_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN, eve
     return texts.mapInArrow(run, "h bigint, doc_id bigint, pos bigint, enter bigint, leave bigint, gap bigint")
 
 
-def _repeated(documents: DataFrame, k: int, span: int, every: bool) -> DataFrame:
-    """The occurrences (see :func:`kmer_occurrences`) of k-mers that select in more than one document, as a written table.
+def _repeated(documents: DataFrame, k: int, span: int, every: bool, *columns: str) -> DataFrame:
+    """h, doc_id, pos and ``columns`` of the occurrences (see :func:`kmer_occurrences`) of k-mers that select in more than one document, as a written table.
 
     The k-mers are counted first, by partial aggregation of nothing but hash and document, so one that stands in a third
     of all documents costs one row for each map task. Selecting is cheap, so it runs again for the occurrences of the
@@ -193,8 +193,7 @@ def _repeated(documents: DataFrame, k: int, span: int, every: bool) -> DataFrame
     once = kmer_occurrences(documents, k, span).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     hashes = materialize(once.where("lo <> hi").select("h"), "repeated-hashes")
     few = hashes.count() <= BROADCAST_HASHES
-    rows = kmer_occurrences(documents, k, span, every)
-    rows = (rows if every else rows.drop("gap")).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
+    rows = kmer_occurrences(documents, k, span, every).select("h", "doc_id", "pos", *columns).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
     return materialize(rows, "repeated-kmers")
 
 
@@ -203,7 +202,7 @@ def repeated_occurrences(documents: DataFrame, k: int = K, span: int = MIN_SPAN)
 
     ``n`` counts the occurrences of the k-mer; ``in_edge`` and ``out_edge`` are set where all of them agree in it.
     """
-    rows = _repeated(documents, k, span, False)
+    rows = _repeated(documents, k, span, False, "enter", "leave")
     agreed = lambda c, name: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(name)
     facts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), agreed("enter", "in_edge"), agreed("leave", "out_edge"))
     return materialize(rows.select("h", "doc_id", "pos").join(facts, "h"), "repeated-occurrences")
@@ -239,7 +238,7 @@ def repeated_paths(documents: DataFrame, k: int = K, span: int = MIN_SPAN) -> Da
     digested (SHA-256), so the places of a row are verbatim copies. Where copies part and meet again, they are several paths.
     Null ids and texts, and texts shorter than ``span``, have none.
     """
-    rows = _repeated(documents, k, span, True)
+    rows = _repeated(documents, k, span, True, "enter", "leave", "gap")
     agreed = lambda c, name: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(name)
     nodes = materialize(rows.groupBy("h").agg(agreed("enter", "in_edge"), agreed("leave", "out_edge"), F.max("gap").alias("gap")), "nodes")
     paths = compact_paths(nodes).groupBy("head").agg((F.max("offset") + k).alias("length")).where(F.col("length") >= span)
