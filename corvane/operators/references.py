@@ -3,23 +3,27 @@
 Keys are partitioned into ranges of their hashed domain. The parents of a range become one sorted
 array; batches of references of the same range are probed against it by binary search, all at once
 in numpy. A range with many references, such as one with a hot key, is split into salts of a bounded
-number of references, and its (small) parent array is sent to every salt.
+number of references, and its (small) parent array is sent to every salt. Batches are numbered, and the
+number decides the partition, so tasks get equally many of them.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.paths import canonical_path
+from corvane.session import materialize
 
 PARENTS_PER_RANGE = 20_000
 REFS_PER_BATCH = 150_000
-#: The table of ranges (a number and a count each) is broadcast up to 2**16 rows, about 1 MB; beyond that it is joined.
+#: The table of ranges (a few numbers each) is broadcast up to 2**16 rows, about 2 MB; beyond that it is joined.
 BROADCAST_BITS = 16
+#: The range of the references that are passed on; it has no parents.
+PASSED_ON = -1
 FOREVER = (1 << 62) - 1
 BEFORE = -(1 << 62)
 
@@ -32,7 +36,6 @@ def _key_range(key: Column, bits: int) -> Column:
 def _probe(refs, parents):
     """Judge one batch of references against the sorted array of its range."""
     import numpy as np
-    import pandas as pd
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -40,7 +43,7 @@ def _probe(refs, parents):
     no_time = refs.column("t").is_null().to_numpy(zero_copy_only=False)
     t = pc.fill_null(refs.column("t").cast(pa.int64()), FOREVER).to_numpy()
     h = refs.column("h").to_numpy()
-    judged = refs.column("judge").to_numpy(zero_copy_only=False)
+    judged = refs.column("reason").is_null().to_numpy(zero_copy_only=False)
     found = np.zeros(n, dtype=bool)
     alive = np.zeros(n, dtype=bool)
     ended = np.zeros(n, dtype=bool)
@@ -71,7 +74,8 @@ def _probe(refs, parents):
         hit = np.flatnonzero(found)
         k = at[hit]
         # lives of a key in order of their start, with the latest end so far and the earliest end of all
-        latest = pd.Series(end).groupby(rank).cummax().to_numpy()
+        ends, place = np.unique(end, return_inverse=True)
+        latest = ends[np.maximum.accumulate(rank * len(ends) + place) - rank * len(ends)]
         earliest = np.minimum.reduceat(end, first)
         starts = np.unique(start)
         width = len(starts) + 1
@@ -100,47 +104,51 @@ def _probe(refs, parents):
     )
 
 
-def probe_references(refs: DataFrame, parents: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def _batches(n_rows: Column) -> Column:
+    return F.ceil(n_rows / REFS_PER_BATCH).cast("int")
+
+
+def probe_references(refs: DataFrame, parents: DataFrame, sizes: DataFrame | None = None, n_passed: int = 0) -> DataFrame:
     """Add to each reference the reason why its record is not alive, null if it is.
 
     ``refs``: edge_id, ref_field, key, symbol, t (timestamp), reason. A row whose reason is already set is passed
     on as it is. ``parents``: key, start, end; a null start has always been, a null end goes on, repeated rows
     and overlapping lives are allowed. Rows of ``parents`` with a null key name nothing. A reference whose t is
     null is only judged by whether its key exists. ``sizes`` holds ``key`` of the references to be judged if that
-    is cheaper to get than ``refs`` itself.
+    is cheaper to get than ``refs`` itself; ``n_passed`` is then the most rows whose reason is set.
     """
     parents = parents.where("key IS NOT NULL")
     n_parents = parents.count()
     bits = max(0, math.ceil(math.log2(max(1, n_parents / PARENTS_PER_RANGE))))
-    ranges = (
-        (refs.where("reason IS NULL") if sizes is None else sizes)
-        .groupBy(_key_range(F.col("key"), bits).alias("range"))
-        .agg(F.ceil(F.count(F.lit(1)) / REFS_PER_BATCH).cast("int").alias("salts"))
-    )
-    if bits <= BROADCAST_BITS:
-        ranges = F.broadcast(ranges)
     judge = F.col("reason").isNull()
-    # references that pass through need no parents: they are spread by their id over the ranges
-    located = refs.select(
-        "*",
-        F.xxhash64("key").alias("h"),
-        judge.alias("judge"),
-        F.when(judge, _key_range(F.col("key"), bits)).otherwise(_key_range(F.col("edge_id"), bits)).alias("range"),
-    )
-    located = located.join(ranges, "range", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("edge_id", "ref_field"), F.coalesce(F.col("salts"), F.lit(1)).cast("long")).cast("int")
-    )
-    arrays = (
-        parents.select("key", "start", "end", F.xxhash64("key").alias("h"), _key_range(F.col("key"), bits).alias("range"))
-        .join(ranges, "range")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    )
-    left = located.select("range", "salt", "edge_id", "ref_field", "key", "symbol", "t", "reason", "h", "judge")
-    right = arrays.select("range", "salt", "h", "key", "start", "end")
+    key_range, n_rows = _key_range(F.col("key"), bits), F.count(F.lit(1)).alias("n")
+    if sizes is None:
+        counts = refs.groupBy(F.when(judge, key_range).otherwise(PASSED_ON).alias("range")).agg(n_rows)
+    else:
+        counts = sizes.groupBy(key_range.alias("range")).agg(n_rows)
+        counts = counts.unionByName(refs.sparkSession.range(1).select(F.lit(PASSED_ON).cast("long").alias("range"), F.lit(n_passed).cast("long").alias("n")))
+    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the table of ranges only
+    numbered = counts.where("n > 0").select("range", "n", _batches(F.col("n")).alias("salts"))
+    numbered = numbered.withColumn("first", (F.sum("salts").over(up_to) - F.col("salts")).cast("int"))
+    if bits <= BROADCAST_BITS:
+        ranges = F.broadcast(refs.sparkSession.createDataFrame(numbered.toArrow()))  # from Arrow it needs no Python workers
+    else:
+        ranges = materialize(numbered, "reference-ranges")
+    n_judged, n_batches = ranges.agg(F.sum(F.when(F.col("range") != PASSED_ON, F.col("n"))), F.sum("salts")).first()
+    # a batch a task, or several where they are small
+    default = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = max(1, min(n_batches or 0, max(default, math.ceil((n_judged or 0) / REFS_PER_BATCH))))
+    ranges = ranges.drop("n")
+    located = refs.withColumns({"h": F.xxhash64("key"), "range": F.when(judge, key_range).otherwise(PASSED_ON)}).join(ranges, "range", "left")
+    salt = F.pmod(F.xxhash64("edge_id", "ref_field"), F.col("salts").cast("long")).cast("int")
+    arrays = parents.select("key", "start", "end", F.xxhash64("key").alias("h"), key_range.alias("range")).join(ranges, "range")
+    left = located.select((F.col("first") + salt).alias("batch"), "edge_id", "ref_field", "key", "symbol", "t", "reason", "h")
+    right = arrays.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("batch"), "h", "key", "start", "end")
+    left, right = (d.repartitionById(n_tasks, "batch") for d in (left, right))
     schema = T.StructType([refs.schema[c] for c in ("edge_id", "ref_field", "reason", "key", "symbol", "t")])
     for f in schema:
         f.nullable = True
-    return left.groupBy("range", "salt").cogroup(right.groupBy("range", "salt")).applyInArrow(_probe, schema)
+    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_probe, schema)
 
 
 def find_orphans(edges: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -181,7 +189,7 @@ def find_orphans(edges: DataFrame, files: DataFrame, symbols: DataFrame) -> Data
     sizes = edges.where(F.col("target_file").isNotNull() & wants_symbol.isNotNull()).select(
         pair(path["target_file"], F.col("target_symbol")).alias("key")
     )
-    return probe_references(second, symbol_lives, sizes).where("reason IS NOT NULL").select("edge_id", "ref_field", "reason", "t")
+    return probe_references(second, symbol_lives, sizes, 2 * edges.count()).where("reason IS NOT NULL").select("edge_id", "ref_field", "reason", "t")
 
 
 def record_lives(manifest: DataFrame, shared_files: DataFrame, symbols: DataFrame, shared_symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

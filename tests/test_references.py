@@ -95,3 +95,21 @@ def test_report_counts_by_month(spark):
     edges, files, symbols = case(200, 6)
     df = references.find_orphans(spark.createDataFrame(edges, EDGES), spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS))
     assert sum(r.n for r in references.orphan_report(df).collect()) == len(brute(edges, files, symbols))
+
+
+@pytest.mark.parametrize("n_symbols", [0, 400])
+def test_batches_stay_bounded_where_all_references_are_passed_on(spark, monkeypatch, n_symbols):
+    probe, most = references._probe, 80
+    monkeypatch.setattr(references, "REFS_PER_BATCH", most // 2)
+
+    def bounded(refs, parents):
+        assert refs.num_rows <= most, f"{refs.num_rows} references in a batch"
+        return probe(refs, parents)
+
+    monkeypatch.setattr(references, "_probe", bounded)
+    gone = [(i, f"p/a{i}.py", f"p/b{i}.py", None, "imports", T0, "clash", 9, 9) for i in range(1000)]
+    alive = [(1000 + i, "p/hot.py", "p/hot.py", "a", "calls", T0, "clash", 9, 9) for i in range(n_symbols)]
+    files, symbols = [("p/hot.py", None, None)], [("p/hot.py", "a", None, None)]
+    df = references.find_orphans(spark.createDataFrame(gone + alive, EDGES), spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS))
+    got = [tuple(r)[:3] for r in df.collect()]
+    assert len(got) == 2000 and set(got) == brute(gone + alive, files, symbols)
